@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import queries_text
+from tracewell.llm import queries_sessions, queries_text
 
-MODULES = [queries_text]
+MODULES = [queries_text, queries_sessions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
