@@ -1,9 +1,10 @@
-"""Queries over documents: token ids."""
+"""Queries over documents: token ids, leaked evaluation items, garbled text."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.llm.leaks import find_leaks, remove_leaks
 from tracewell.llm.tokenize import encode
 from tracewell.tables import table
 
@@ -14,5 +15,28 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(docs).select("doc_id", "ids")
 
 
-QUERIES = {"p6_ids": p6_ids}
-SQL: dict[str, str] = {}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain eight consecutive words of an evaluation item's question or answer."""
+    items = table(spark, sf_dir, "eval_items")
+    return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", ["question", "answer"])
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the leaked stretches."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").distinct()
+    return remove_leaks(docs, "text", table(spark, sf_dir, "eval_items"), "item_id", ["question", "answer"])
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean}
+
+SQL: dict[str, str] = {
+    "p7_found": r"""
+with w as (select item_id, regexp_extract_all(lower(p), '[\p{L}\p{N}]+') as w
+           from (select item_id, unnest([question, answer]) as p from eval_items) where p is not null),
+grams as (select distinct item_id, list_aggregate(w[i : i + 7], 'string_agg', ' ') as g
+          from (select item_id, w, unnest(range(1, len(w) - 6)) as i from w where len(w) >= 8)),
+d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+windows as (select doc_id, list_aggregate(w[i : i + 7], 'string_agg', ' ') as g
+            from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d where len(w) >= 8))
+select distinct doc_id, item_id from windows join grams using (g)""",
+}
