@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.plans import timestamps
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = []
+MODULES: list = [timestamps]
 
 
 def queries() -> dict[str, Query]:
