@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.boilerplate import find_repeated, remove_repeated
+from tracewell.llm.conversations import rebuild
 from tracewell.tables import table
 
 
@@ -23,7 +24,17 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(docs, "file_path", "source_type", "content", find_repeated(docs, "file_path", "source_type", "content"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_clean": p4_clean}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of the conversations that are whole."""
+    return rebuild(spark, f"{sf_dir}/oc_part.parquet", with_text=False).select("session_id", "seq", "part_id", "role")
+
+
+def p5_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with time and text."""
+    return rebuild(spark, f"{sf_dir}/oc_part.parquet")
+
+
+QUERIES = {"p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_conversations": p5_conversations}
 
 _P4_LINES = r"""
 docs as (select distinct file_path, source_type, content from session_documents
