@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracewell.llm.boilerplate import find_repeated, remove_repeated
 from tracewell.llm.conversations import rebuild
+from tracewell.llm.near_duplicates import similar_pairs
 from tracewell.tables import table
 
 
@@ -13,6 +15,18 @@ def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "session_documents").select("file_path", "source_type", "content")
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session documents and observations under common names."""
+    docs = table(spark, sf_dir, "session_documents").select(F.lit("session_documents").alias("table_name"), F.col("file_path").alias("key"), "content")
+    notes = table(spark, sf_dir, "observations").select(F.lit("observations").alias("table_name"), F.col("id").cast("string").alias("key"), "content")
+    return docs.unionByName(notes)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of one table with similar contents."""
+    return similar_pairs(_records(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines repeated excessively within a source_type."""
     return find_repeated(_contents(spark, sf_dir), "file_path", "source_type", "content").select("file_path", "line_no")
@@ -34,7 +48,7 @@ def p5_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuild(spark, f"{sf_dir}/oc_part.parquet")
 
 
-QUERIES = {"p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_conversations": p5_conversations}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_conversations": p5_conversations}
 
 _P4_LINES = r"""
 docs as (select distinct file_path, source_type, content from session_documents
