@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.llm.garbled import restore
 from tracewell.llm.leaks import find_leaks, remove_leaks
 from tracewell.llm.tokenize import encode
 from tracewell.tables import table
@@ -27,7 +28,17 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_leaks(docs, "text", table(spark, sf_dir, "eval_items"), "item_id", ["question", "answer"])
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was read with the wrong encoding, wholly or in places."""
+    return restore(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").filter("garbled").select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """These documents with the text restored."""
+    return restore(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").filter("garbled").select("doc_id", "restored").distinct()
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_restored": p8_restored}
 
 SQL: dict[str, str] = {
     "p7_found": r"""
