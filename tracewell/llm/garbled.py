@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.llm.codecs import CHANNELS, LOST, from_bytes, to_bytes
 from tracewell.session import pin
@@ -258,7 +259,7 @@ def restore(df: DataFrame, text: str, model: tuple[dict[str, int], dict[str, int
     """
     kept = df.drop("garbled", "restored")
     shared = df.sparkSession.sparkContext.broadcast(model or train(kept, text))
-    schema = kept.withColumns({"garbled": F.lit(True), "restored": F.lit("")}).schema
+    schema = T.StructType([*kept.schema, T.StructField("garbled", T.BooleanType()), T.StructField("restored", T.StringType())])
     place = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
