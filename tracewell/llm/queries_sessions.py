@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.boilerplate import find_repeated, remove_repeated
 from tracewell.llm.conversations import rebuild
 from tracewell.llm.near_duplicates import similar_pairs
+from tracewell.llm.personal import find_personal, redact
 from tracewell.tables import table
 
 
@@ -27,6 +28,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(_records(spark, sf_dir))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of e-mail addresses, phone and identity numbers, street addresses and names."""
+    spans = find_personal(_records(spark, sf_dir), table(spark, sf_dir, "given_names"))
+    rows = spans.select("table_name", F.col("key").alias("record_key"), F.explode("spans").alias("s"))
+    return rows.select("table_name", "record_key", "s.kind", "s.value").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents with placeholders for mentions."""
+    records = _records(spark, sf_dir).distinct()
+    return redact(records, find_personal(records, table(spark, sf_dir, "given_names")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines repeated excessively within a source_type."""
     return find_repeated(_contents(spark, sf_dir), "file_path", "source_type", "content").select("file_path", "line_no")
@@ -48,7 +62,7 @@ def p5_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuild(spark, f"{sf_dir}/oc_part.parquet")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_conversations": p5_conversations}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_conversations": p5_conversations}
 
 _P4_LINES = r"""
 docs as (select distinct file_path, source_type, content from session_documents
