@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +57,6 @@ def search(docs: DataFrame, query: str, as_of: int, limit: int = 10, skip_title:
 
 def with_snippets(results: DataFrame, terms: Sequence[str], radius: int = 80) -> DataFrame:
     """Adds the best window of each result row. For results, which are few; runs as an Arrow batch function after the top-k."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def window(text: pd.Series) -> pd.Series:
         return text.map(lambda t: best_window(t, terms, radius))
@@ -92,8 +92,6 @@ def page(rows: DataFrame, limit: int, offset: int = 0, key: str = "id") -> DataF
 
 def route(query: str) -> str:
     """'session' for what looks like a session id, else 'search'."""
-    import re
-
     return "session" if re.fullmatch(r"[0-9a-f]{8}[-0-9a-f]*", query.strip(), re.I) else "search"
 
 

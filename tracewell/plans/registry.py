@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import timestamps
+from tracewell.plans import data, search, timestamps
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = [timestamps]
+MODULES: list = [search, data, timestamps]
 
 
 def queries() -> dict[str, Query]:
