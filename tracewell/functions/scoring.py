@@ -27,7 +27,7 @@ def noise_penalty(title: Column, content: Column, path: Column, marks: Sequence[
     """What marks of no content cost: skill texts, tool output, listings, long lists of short lines."""
     text = F.lower(F.concat_ws("\n", title, content, path))
     hits = reduce(add, [F.contains(text, F.lit(m.lower())).cast("int") for m in marks]) if marks else F.lit(0)
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     short = F.filter(lines, lambda x: (F.length(x) <= 40) & ~F.contains(x, F.lit(" ")) & (occurrences(x, "/") < 2) & (occurrences(x, "-") <= 3))
     return (
         F.least(F.lit(120), hits * 60)

@@ -26,7 +26,7 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl", recursi
 
 def read_whole(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(path, text, mtime, size) of whole files."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(path)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     meta = F.col("_metadata")
     return rows.select(meta["file_path"].alias("path"), F.col("value").alias("text"), F.unix_timestamp(meta["file_modification_time"]).alias("mtime"), meta["file_size"].alias("size"))
 

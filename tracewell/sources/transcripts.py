@@ -173,7 +173,7 @@ def first_titles(lines: DataFrame, most: int = 6) -> DataFrame:
 def markdown(files: DataFrame) -> DataFrame:
     """Memory notes: `# title`, `Tags:`, `Date:`, and the body behind `## Content` (else the whole file), without private blocks. Empty ones give none."""
     lines = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
-    head = F.transform(lines, F.trim)
+    head = F.transform(lines, lambda x: F.trim(x))
 
     def first(test: Callable[[Column], Column]) -> Column:
         return F.get(F.filter(head, test), F.lit(0))
@@ -191,14 +191,14 @@ def markdown(files: DataFrame) -> DataFrame:
     return rows.select(
         fingerprint(F.col("source_type"), F.col("title"), F.col("content"), F.col("created_at_epoch")).alias("fingerprint"), "source_type",
         F.element_at(F.split(stem(F.col("path")), "_"), -1).alias("session_id"), F.substring("title", 1, 240).alias("title"), "content",
-        F.filter(F.transform(F.split("tags", ","), F.trim), lambda t: t != "").alias("tags"), F.col("path").alias("file_path"),
+        F.filter(F.transform(F.split("tags", ","), lambda x: F.trim(x)), lambda t: t != "").alias("tags"), F.col("path").alias("file_path"),
         F.coalesce(F.nullif("date", F.lit("")), F.date_format(F.timestamp_seconds("created_at_epoch"), "yyyy-MM-dd'T'HH:mm:ss")).alias("created_at"), "created_at_epoch",
     )
 
 
 def aider(files: DataFrame) -> DataFrame:
     """Chat histories in Markdown: chunks between `####` and `---`, those of more than 10 characters."""
-    chunks = F.filter(F.transform(F.split("text", r"(?m)^(?:####|---)"), F.trim), lambda c: F.length(c) > 10)
+    chunks = F.filter(F.transform(F.split("text", r"(?m)^(?:####|---)"), lambda x: F.trim(x)), lambda c: F.length(c) > 10)
     pieces = files.select("path", F.posexplode(chunks).alias("at", "text"))
     meta = files.select("path", F.substring(F.sha2("path", 256), 1, 16).alias("session_id"), file_name(F.col("path")).alias("title"), F.lit("").alias("created_at"), "mtime", "size")
     return finish(meta, join_pieces(pieces), "aider_session", needs_content=True)
@@ -206,9 +206,9 @@ def aider(files: DataFrame) -> DataFrame:
 
 def json_files(files: DataFrame, source_type: str) -> DataFrame:
     """One JSON value a file (message lists, threads, history objects): as generic lines, comments before lines removed."""
-    bare = F.regexp_replace("text", r"(?m)^\s*//.*$", "")
+    bare = F.regexp_replace(F.regexp_replace("text", r"(?m)^\s*//.*$", ""), r"^\s+", "")
     at = F.struct(F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("row"))
-    wrapped = F.when(F.trim(bare).startswith("["), F.concat(F.lit('{"items": '), bare, F.lit("}"))).otherwise(bare)
+    wrapped = F.when(bare.startswith("["), F.concat(F.lit('{"items": '), bare, F.lit("}"))).otherwise(bare)
     return generic(files.select("path", at.alias("at"), wrapped.alias("line"), "mtime", "size"), source_type)
 
 
