@@ -8,16 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import clip_snippet, contains_any, occurrences
+from tracewell.functions.variant import string_at as _string
 from tracewell.functions.vocabulary import FIELD_WEIGHTS, SCAN_NOISE, SCAN_NOISE_PREFIXES
 
 ROOT = ["display", "text", "prompt", "content", "user_instructions", "last_agent_message"]
 PAYLOAD = ["message", "display", "text", "prompt", "user_instructions", "last_agent_message"]
 
 
-def _string(line: Column, path: str) -> Column:
-    return F.try_variant_get(line, path, "string")
-
-
 def skipped(v: Column) -> Column:
     """Records of tools, reasoning and turns, which hold nothing to find."""
     kind, inner = _string(v, "$.type"), _string(v, "$.payload.type")
@@ -36,7 +33,7 @@ def texts(v: Column) -> Column:
 
     def blocks(field: str, path: str) -> Column:
         items = F.try_variant_get(v, path, "array<variant>")
-        return F.transform(F.coalesce(items, F.array().cast("array<variant>")), lambda b: F.struct(F.lit(field).alias("field"), F.try_variant_get(b, "$.text", "string").alias("text")))
+        return F.transform(F.coalesce(items, F.array().cast("array<variant>")), lambda b: F.struct(F.lit(field).alias("field"), _string(b, "$.text").alias("text")))
 
     parts = [one("message", "$.message")]
     parts += [one(f"root.{k}", f"$.{k}") for k in ROOT]

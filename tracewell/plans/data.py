@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import compact_snippet, fingerprint, is_noise, jaccard, normal_tags, path_only, redact_secrets, safe_name, strip_private
+from tracewell.functions.vocabulary import SECRET_MARKS, SECRETS
 from tracewell.operators import memory, scan, sessions
 from tracewell.plans.base import DOCS, OBS, documents, observations
 from tracewell.sources.lines import join_pieces
-from tracewell.sources.tables import session_documents
-from tracewell.streaming.live import close_sessions, run_to_end
+from tracewell.sources.exports import memory_note, session_notes
+from tracewell.sources.tables import part_texts, session_documents
+from tracewell.streaming.live import close_sessions, run_to_end, stable_documents
 from tracewell.tables import table
 
 HALF = 1_720_000_000
@@ -154,6 +156,31 @@ def last_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.last_messages(parts, "session_id", ["time_created", "id"], 5).select("session_id", "id", "from_end")
 
 
+def session_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chat session's last sixty texts as a note."""
+    texts = part_texts(table(spark, sf_dir, "oc_part").filter("id is not null").distinct()).select("session_id", "at.time_created", "at.id", "text").filter("time_created is not null")
+    notes = session_notes(texts, "session_id", ["time_created", "id"], "text", "opencode")
+    return notes.select("session_id", "file_name", F.md5("note").alias("note_md5"))
+
+
+def memory_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = observations(spark, sf_dir)
+    note = memory_note(F.col("title"), normal_tags(F.col("tags_json")), F.coalesce("created_at", F.lit("")), F.col("content"))
+    return rows.select("id", F.md5(note).alias("note_md5"))
+
+
+def scan_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source when it last changed, and how many documents and machines it has."""
+    docs = documents(spark, sf_dir)
+    return docs.groupBy("source_type").agg(F.max("file_mtime").alias("newest"), F.min("file_mtime").alias("oldest"), F.countDistinct("machine_id").alias("machines"))
+
+
+def stable_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last version of each document once it rested for three minutes."""
+    rows = table(spark, sf_dir, "session_documents").filter("content is not null").select("file_path", F.timestamp_seconds("updated_at_epoch").alias("ts"), "content").distinct()
+    return stable_documents(rows, "file_path", "ts", "content").select("file_path", F.unix_timestamp("changed").alias("changed"))
+
+
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same sessions by a stream that closes them; those still open at its end are not out yet."""
     schema = table(spark, sf_dir, "events").schema
@@ -167,7 +194,7 @@ QUERIES = {
     "vector_orphans": vector_orphans, "source_stats": source_stats, "scan_totals": scan_totals, "scan_order": scan_order, "scan_lines": scan_lines, "clean_documents": clean_documents,
     "noise_flags": noise_flags, "short_snippets": short_snippets, "tag_counts": tag_counts, "file_names": file_names, "fingerprints": fingerprints, "tag_overlap": tag_overlap,
     "chat_documents": chat_documents, "joined_pieces": joined_pieces, "event_sessions": event_sessions, "event_changes": event_changes, "last_messages": last_messages,
-    "streamed_sessions": streamed_sessions,
+    "streamed_sessions": streamed_sessions, "session_exports": session_exports, "memory_notes": memory_notes, "scan_freshness": scan_freshness, "stable_versions": stable_versions,
 }
 
 _SESSIONS = """ev as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 1 day then 0 else 1 end as opens from events),
@@ -177,7 +204,36 @@ _PARSED_TAGS = r"""t as (select *, trim(coalesce(tags_json, '')) as raw from obs
 u as (select *, list_transform(case when starts_with(raw, '[') and json_valid(raw) then from_json(raw, '["VARCHAR"]') else string_split(raw, ',') end, lambda x: trim(x)) as items from t),
 tagged as (select *, list_filter(items, lambda x, i: x is not null and x <> '' and list_position(items, x) = i) as tags from u)"""
 
+
+
+def _clean_sql(column: str) -> str:
+    """A text without private blocks and secrets, in SQL, from the same patterns."""
+    bare = f"trim(regexp_replace(regexp_replace({column}, '(?is)<private>.*?</private>', '', 'g'), '(?i)</?private>', '', 'g'), ' ')"
+    out = bare
+    for pattern, to in SECRETS:
+        out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern.replace("'", "''"), to.replace("$1", "\\1"))
+    marks = " or ".join(f"contains(lower({bare}), '{m}')" for m in SECRET_MARKS)
+    return f"(case when {marks} then {out} else {bare} end)"
+
+
 SQL = {
+    "clean_documents": f"select doc_id, md5({_clean_sql('text')}) as text_md5 from documents where text is not null",
+    "import_new": rf"""with {OBS}, {_PARSED_TAGS}, clean as (select *, {_clean_sql("coalesce(title, '')")} as t2, {_clean_sql("coalesce(content, '')")} as c2,
+  case when regexp_matches(file_path, '^(?:/|~|[A-Za-z]:[\/]|\\)') or contains(file_path, '..') then 'import://local-path-redacted' else coalesce(file_path, '') end as p2 from tagged where source_type = 'import'),
+own as (select coalesce(nullif(fingerprint, ''), sha256(concat_ws('|', source_type, t2, c2, coalesce(created_at_epoch::varchar, '')))) as fingerprint, p2 as file_path, array_to_string(tags, ',') as tags,
+  md5(c2) as content_md5, created_at_epoch, t2, c2, session_id from clean where t2 <> '' and c2 <> '')
+select fingerprint, file_path, tags, content_md5 from own where fingerprint not in (select fingerprint from obs where source_type <> 'import' and fingerprint is not null)
+qualify row_number() over (partition by fingerprint order by created_at_epoch, t2, c2, file_path, session_id) = 1""",
+    "chat_documents": r"""with one as (select id as session_id, time_updated as u, time_created as c, title as t, directory as d from oc_session where id is not null
+  qualify row_number() over (partition by id order by time_updated desc nulls last, time_created desc nulls last, title desc nulls last, directory desc nulls last) = 1),
+p as (select distinct session_id, id, data, time_created from oc_part where session_id is not null),
+x as (select session_id, id, time_created, trim(regexp_replace(case when json_valid(data) and json_type(data) = 'OBJECT' then coalesce(case when json_type(data, '$.text') = 'VARCHAR' then data ->> '$.text' end,
+  case when json_type(data, '$.message') = 'VARCHAR' then data ->> '$.message' end, case when json_type(data, '$.message.content') = 'VARCHAR' then data ->> '$.message.content' end) end, '\s+', ' ', 'g'), ' ') as text from p),
+q as (select *, 24000 - coalesce(sum(length(text) + 1) over (partition by session_id order by time_created nulls first, id rows between unbounded preceding and 1 preceding), 0) as room from x where text <> ''),
+j as (select session_id, string_agg(substr(text, 1, room::bigint), chr(10) order by time_created nulls first, id) as content from q where room > 0 group by 1)
+select coalesce(one.session_id, j.session_id) as session_id, greatest(1, coalesce(u, c, 0) // 1000)::bigint as created_at_epoch,
+  length(coalesce(nullif(t, ''), nullif(d, ''), one.session_id, j.session_id))::int as title_length,
+  length(coalesce(nullif(content, ''), nullif(t, ''), nullif(d, ''), one.session_id, j.session_id))::int as content_length from one full join j on one.session_id = j.session_id""",
     "upsert_latest": f"with {DOCS} select file_path, updated_at_epoch, md5(coalesce(content, '')) as content_md5 from docs",
     "sync_changes": f"""with {DOCS}, listed as (select path as file_path, max(size_bytes) as size from session_summary where path is not null group by 1)
 select coalesce(l.file_path, d.file_path) as file_path, case when d.file_path is null then 'added' when l.file_path is null then 'removed' when l.size is not distinct from d.file_size then 'unchanged' else 'updated' end as change
@@ -212,6 +268,21 @@ select file_path, substr(case when n = '' then 'memory' else n end, 1, 120) as n
     "fingerprints": f"with {OBS} select id, sha256(concat_ws('|', coalesce(source_type, ''), coalesce(title, ''), coalesce(content, ''), coalesce(created_at_epoch::varchar, ''))) as own from obs",
     "event_sessions": f"with {_SESSIONS} select user_id, started, ended, n from g where n >= 2",
     "streamed_sessions": f"with {_SESSIONS} select user_id, started, ended, n from g where n >= 2 and ended + interval 1 day <= (select max(ts) - interval 1 hour from events)",
+    "session_exports": r"""with p as (select distinct session_id, id, data, time_created from oc_part where session_id is not null and id is not null and time_created is not null),
+t as (select session_id, id, time_created, case when json_valid(data) and json_type(data) = 'OBJECT' then coalesce(case when json_type(data, '$.text') = 'VARCHAR' then data ->> '$.text' end,
+  case when json_type(data, '$.message') = 'VARCHAR' then data ->> '$.message' end, case when json_type(data, '$.message.content') = 'VARCHAR' then data ->> '$.message.content' end) end as text from p),
+l as (select *, row_number() over (partition by session_id order by time_created desc, id desc) as back from t where text is not null qualify back <= 60),
+n as (select session_id, count(*) as n, '# ' || session_id || chr(10) || chr(10) || '- ' || string_agg(substr(text, 1, 2000), chr(10) || '- ' order by back desc) as note from l group by 1)
+select session_id, 'opencode_' || substr(regexp_replace(regexp_replace(lower(session_id), '[^a-zA-Z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), 1, 64) || '.md' as file_name, md5(note) as note_md5 from n where n >= 2""",
+    "memory_notes": f"""with {OBS}, {_PARSED_TAGS} select id, case when trim(coalesce(title, ''), ' ') <> '' and trim(coalesce(content, ''), ' ') <> ''
+        then md5('# ' || trim(title, ' ') || chr(10) || chr(10) || 'Tags: ' || array_to_string(tags, ', ') || chr(10) || 'Date: ' || coalesce(created_at, '') || chr(10) || chr(10) || '## Content'
+          || chr(10) || chr(10) || trim(content, ' ') || chr(10)) end as note_md5 from tagged""",
+    "scan_freshness": f"with {DOCS} select source_type, max(file_mtime) as newest, min(file_mtime) as oldest, count(distinct machine_id) as machines from docs group by 1",
+    "stable_versions": """with v as (select distinct file_path, updated_at_epoch as t, content from session_documents where content is not null),
+s as (select *, case when t - lag(t) over (partition by file_path order by t) < 180 then 0 else 1 end as opens from v),
+g as (select *, sum(opens) over (partition by file_path order by t rows unbounded preceding) as no from s),
+w as (select * from g qualify row_number() over (partition by file_path, no order by t desc, content desc) = 1)
+select file_path, t as changed from w where length(content) >= 400""",
     "event_changes": "select event_id from events qualify lag(event_type) over (partition by user_id order by ts, event_id) is distinct from event_type",
     "last_messages": """select session_id, id, row_number() over (partition by session_id order by time_created desc, id desc)::int as from_end
         from (select distinct session_id, id, time_created from oc_part where session_id is not null and id is not null and time_created is not null) qualify from_end <= 5""",

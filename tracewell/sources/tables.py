@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from tracewell.functions.variant import string_at
 from tracewell.sources.lines import join_pieces
 
 #: Keys of chats in the key-value stores of editors (fixed values).
@@ -18,7 +19,7 @@ CHAT_KEYS = ["chat", "conversation", "composer", "aichat", "copilot", "prompts",
 def part_texts(parts: DataFrame) -> DataFrame:
     """(session_id, at, text) of part rows whose data holds a text, in order of time and id."""
     v = F.try_parse_json("data")
-    text = F.coalesce(F.try_variant_get(v, "$.text", "string"), F.try_variant_get(v, "$.message", "string"))
+    text = F.coalesce(string_at(v, "$.text"), string_at(v, "$.message"), string_at(v, "$.message.content"))
     rows = parts.select("session_id", F.struct("time_created", "id").alias("at"), text.alias("text"))
     return rows.filter("session_id is not null and text is not null")
 

@@ -10,15 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import fingerprint, is_noise, strip_private
+from tracewell.functions.variant import string_at as _s
 from tracewell.sources.lines import file_name, finish, join_pieces, stem
 
 BLOCKS = ("input_text", "output_text", "text")
 
 
-def _s(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "string")
-
-
 def _parsed(lines: DataFrame) -> DataFrame:
     """Lines that are JSON objects; blank and unreadable ones are skipped."""
     return lines.withColumn("v", F.try_parse_json("line")).filter(F.schema_of_variant("v").startswith("OBJECT"))
@@ -62,8 +59,8 @@ def claude(lines: DataFrame) -> DataFrame:
     rows = _parsed(lines)
     v = F.col("v")
     kind = _s(v, "$.type")
-    is_text = F.schema_of_variant(F.try_variant_get(v, "$.message.content", "variant")) == "STRING"
-    user = F.when((kind == "user") & is_text, F.array(_s(v, "$.message.content")))
+    said = _s(v, "$.message.content")
+    user = F.when((kind == "user") & said.isNotNull(), F.array(said))
     assistant = F.when(kind == "assistant", _blocks(v, "$.message.content"))
     empty = F.lit("")
     return _documents(rows, F.nullif(_s(v, "$.sessionId"), empty), F.nullif(_s(v, "$.cwd"), empty), F.nullif(_s(v, "$.timestamp"), empty), F.coalesce(user, assistant, F.array().cast("array<string>")), "claude_session", first=True)

@@ -30,6 +30,13 @@ def close_sessions(messages: DataFrame, key: str, time: str, gap: str, delay: st
     return found.filter(F.col("n") >= least).select(key, "started", "ended", "n")
 
 
+def stable_documents(versions: DataFrame, key: str, time: str, content: str, quiet: str = "180 seconds", delay: str = "10 minutes", least: int = 400) -> DataFrame:
+    """The last version of each document after it did not change for `quiet`: key, changed, content. Short ones are left out."""
+    rows = versions.withWatermark(time, delay) if versions.isStreaming else versions
+    last = rows.groupBy(key, F.session_window(time, quiet).alias("_w")).agg(F.max(F.struct(time, content)).alias("_v"))
+    return last.select(key, F.col("_v")[time].alias("changed"), F.col("_v")[content].alias(content)).filter(F.length(content) >= least)
+
+
 def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there, with checkpoints in the shared folder, and gives the rows it put out; a sink gets each batch as well."""
     spark = stream.sparkSession
