@@ -11,17 +11,15 @@ all that exactness needs; a coarser sketch only costs time.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.words import WORD
 from tracewell.session import new_path, pin
 
 SHINGLE, MIN_WORDS, SIMILARITY = 3, 40, 0.5
@@ -31,37 +29,113 @@ SHORT_HITS = 4
 SKETCH_BITS, SLICES, FILTER_BITS = 22, 32, 23
 #: Pairs and entries of which one task's arrays hold so many at a time.
 CHUNK = 2_000_000
-WORD_CACHE = 500_000
+#: Characters that are taken at a time.
+CHARACTERS = 500_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-
-
-class Shingler(dict):
-    """Sorted distinct 64-bit hashes of a text's runs of consecutive words, and a hash of all its words. Hashes of words are kept, up to a bound."""
-
-    def __init__(self, width: int = SHINGLE, min_words: int = MIN_WORDS) -> None:
-        self.width, self.min_words = width, min_words
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def __call__(self, text: str | None) -> tuple[int, np.ndarray] | None:
-        """None for texts with too few words."""
-        words = WORD.findall(text.lower()) if text else ()
-        if len(words) < max(self.min_words, self.width):
-            return None
-        h = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        n = len(h) - self.width + 1
+_NONE, _ONE = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter or digit."""
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    base = int(_MIX[0])
+    return tuple(np.cumprod(np.concatenate([_ONE, np.full(n - 1, b, np.uint64)])) for b in (base, pow(base, -1, 2**64)))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _MIX[1]
+    h = (h ^ (h >> np.uint64(29))) * _MIX[2]
+    return h ^ (h >> np.uint64(32))
+
+
+def _pieces(low: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+    """The texts with the number of each, as lists of about CHARACTERS characters; a longer text is cut between words."""
+    held, owners, size = [], [], 0
+    for i, t in enumerate(low):
+        at = 0
+        while at < len(t) or (at == 0 and not t):
+            end = min(len(t), at + CHARACTERS)
+            while at < end < len(t) and t[end - 1].isalnum() and t[end].isalnum():
+                end -= 1
+            if end == at and t:  # within one word
+                end = at + CHARACTERS
+                while end < len(t) and t[end].isalnum():
+                    end += 1
+            held.append(t[at:end])
+            owners.append(i)
+            size += end - at
+            at = max(end, at + 1)
+            if size >= CHARACTERS:
+                yield held, owners
+                held, owners, size = [], [], 0
+    yield held, owners
+
+
+def _word_hashes(low: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of lower-case texts and the number of its text: differences of one running sum over all characters, moved to the same place."""
+    hashes, texts = [], []
+    for pieces, owners in _pieces(low):
+        codes = np.frombuffer(" ".join(pieces).encode("utf-32-le"), np.uint32)
+        edge = np.diff(np.concatenate([[False], _letters()[codes], [False]]).astype(np.int8))
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        up, down = _powers(1 << max(10, len(codes).bit_length()))
+        total = np.concatenate([_NONE, np.cumsum((codes + np.uint32(1)).astype(np.uint64) * up[: len(codes)])])
+        hashes.append(_mixed((total[end] - total[begin]) * down[begin]))
+        ends = np.cumsum([len(t) + 1 for t in pieces])
+        texts.append(np.asarray(owners, np.int64)[np.searchsorted(ends, begin, side="right")])
+    return np.concatenate(hashes), np.concatenate(texts)
+
+
+class Shingles:
+    """Distinct shingles of a batch of texts as 64-bit hashes: kept (places of the texts with enough words), cls (hash of all words of each), starts and hashes (sorted within a text)."""
+
+    def __init__(self, texts: list[str], width: int, min_words: int) -> None:
+        words, doc = _word_hashes([(t or "").lower() for t in texts])
+        count = np.bincount(doc, minlength=len(texts))
+        first = np.cumsum(count) - count
+        place = (np.arange(len(words)) - first[doc]).astype(np.uint64)
+        sums = np.concatenate([_NONE, np.cumsum(_mixed(words + (place + np.uint64(1)) * _MIX[0]))])
+        self.kept = np.flatnonzero(count >= max(min_words, width))
+        whole = _mixed(sums[first[self.kept] + count[self.kept]] - sums[first[self.kept]] + count[self.kept].astype(np.uint64))
+        self.cls = whole.astype(np.int64)
+        n = len(words) - width + 1
+        if n <= 0 or not len(self.kept):
+            self.hashes, self.starts = np.zeros(0, np.uint64), np.zeros(len(self.kept) + 1, np.int64)
+            return
         s = np.zeros(n, np.uint64)
-        for i in range(self.width):
-            s = (s ^ (s >> np.uint64(31))) * _MIX[0] + h[i : i + n] * _MIX[1]
-        s ^= s >> np.uint64(29)
-        s *= _MIX[2]
-        s ^= s >> np.uint64(32)
-        return xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63, np.unique(s)
+        for i in range(width):
+            s = (s ^ (s >> np.uint64(31))) * _MIX[0] + words[i : i + n] * _MIX[1]
+        s = _mixed(s)
+        number = np.full(len(texts), -1)
+        number[self.kept] = np.arange(len(self.kept))
+        own = number[doc[:n]]
+        good = (doc[:n] == doc[width - 1 :]) & (own >= 0)
+        s, own = s[good], own[good]
+        order = np.lexsort((s, own))
+        s, own = s[order], own[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (own[1:] != own[:-1])
+        self.hashes, own = s[new], own[new]
+        self.starts = np.searchsorted(own, np.arange(len(self.kept) + 1))
+
+
+def shingled(texts: list[str | None], shingler: tuple[int, int]) -> Iterator[tuple[int, Shingles]]:
+    """The shingles of texts in chunks of bounded size, with the place of each chunk's first text."""
+    at = 0
+    while at < len(texts):
+        size, to = 0, at
+        while to < len(texts) and (to == at or size < CHARACTERS):
+            size += len(texts[to] or "")
+            to += 1
+        yield at, Shingles(texts[at:to], *shingler)
+        at = to
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -88,17 +162,18 @@ def _survey(records: DataFrame, shingler: tuple[int, int]) -> DataFrame:
     """First pass over the texts: each record's class (of equal word sequences) and size; and each task's part of the sketch of all shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts = Shingler(*shingler), np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         names = ["kind", "table_name", "key", "cls", "n", "slice", "counts"]
         kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         salt = TaskContext.get().partitionId() % 64
         for batch in batches:
+            tables, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
-            for name, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if found := shingles(text):
-                    cls, s = found
-                    np.add.at(counts, (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
-                    rows.append((0, name, key, cls, len(s), None, None))
+            for at, found in shingled(batch.column(2).to_pylist(), shingler):
+                slots, n = np.unique((found.hashes & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), return_counts=True)
+                counts[slots] += n.astype(np.uint32)
+                sizes = np.diff(found.starts)
+                rows += [(0, tables[at + i], keys[at + i], c, n, None, None) for i, c, n in zip(found.kept.tolist(), found.cls.tolist(), sizes.tolist(), strict=True)]
             yield _batch(names, kinds, rows)
         parts = np.split(np.minimum(counts, 255).astype(np.uint8), SLICES)
         yield _batch(names, kinds, [(1, None, None, None, salt, i, p.tobytes()) for i, p in enumerate(parts) if p.any()])
@@ -143,7 +218,7 @@ def _entries(records: DataFrame, sketch: np.ndarray, shingler: tuple[int, int],
     shared = records.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts, mask = Shingler(*shingler), shared.value, np.uint64((1 << SKETCH_BITS) - 1)
+        counts, mask = shared.value, np.uint64((1 << SKETCH_BITS) - 1)
         held: list[tuple] = []
         size = 0
 
@@ -161,19 +236,18 @@ def _entries(records: DataFrame, sketch: np.ndarray, shingler: tuple[int, int],
             return _batch(["part", "blob"], [pa.int32(), pa.binary()], rows)
 
         for batch in batches:
-            for text in batch.column(2).to_pylist():
-                if not (found := shingles(text)):
-                    continue
-                cls, s = found
-                n = len(s)
-                count = counts[(s & mask).astype(np.int64)]
-                # the shortest record similar enough to this one has similarity * n shingles
-                short = min(n, n - math.ceil(similarity * n - 1e-9) + SHORT_HITS)
-                order = np.lexsort((s, count))[:short]
-                place = np.flatnonzero(count[order] > 1)  # a counter of 1 proves that no other record has the shingle
-                own = s[order[place]]
-                held.append((own, np.full(len(own), cls), np.full(len(own), n, np.uint32), place.astype(np.uint32)))
-                size += len(own)
+            for _, found in shingled(batch.column(2).to_pylist(), shingler):
+                sizes = np.diff(found.starts)
+                own = np.repeat(np.arange(len(sizes)), sizes)
+                count = counts[(found.hashes & mask).astype(np.int64)]
+                order = np.lexsort((found.hashes, count, own))
+                place = np.arange(len(own)) - found.starts[own]
+                # the shortest record similar enough to one of n shingles has similarity * n of them
+                short = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + SHORT_HITS
+                # a counter of 1 proves that no other record has the shingle
+                keep = (place < short[own]) & (count[order] > 1)
+                held.append((found.hashes[order][keep], found.cls[own][keep], sizes[own][keep].astype(np.uint32), place[keep].astype(np.uint32)))
+                size += int(keep.sum())
                 if size >= CHUNK:
                     yield flush()
                     size = 0
@@ -295,15 +369,13 @@ def _verify(shingler: tuple[int, int], similarity: float):
     """Keeps the pairs whose texts are similar enough, by probing the one's shingles in the other's by binary search."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(*shingler)
         last: dict[int, np.ndarray] = {}
 
         def of(cls: int, text: str) -> np.ndarray:
             if cls not in last:
                 if len(last) > 5000:
                     last.clear()
-                found = shingles(text)
-                last[cls] = found[1] if found else np.zeros(0, np.uint64)
+                last[cls] = Shingles([text], *shingler).hashes
             return last[cls]
 
         for batch in batches:
