@@ -75,6 +75,13 @@ heavy as (select source_type, k from keyed where length(k) >= 12 group by source
             0.05 * (select count(distinct d.file_path) from docs d where d.source_type = keyed.source_type))
 """
 SQL = {
+    "p2_found": r"""with r as (select distinct 'session_documents' as table_name, file_path as key, content from session_documents where file_path is not null and content is not null
+  union select distinct 'observations', id::varchar, content from observations where id is not null and content is not null),
+w as (select table_name, key, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') as w from r),
+s as (select distinct table_name, key, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as s from (select table_name, key, w, unnest(range(1, len(w) - 1)) as i from w where len(w) >= 40)),
+n as (select table_name, key, count(*) as n from s group by all),
+c as (select a.table_name, a.key as key_a, b.key as key_b, count(*) as c from s a join s b on a.table_name = b.table_name and a.s = b.s and a.key < b.key group by all)
+select c.table_name, key_a, key_b from c join n x on x.table_name = c.table_name and x.key = key_a join n y on y.table_name = c.table_name and y.key = key_b where 2 * c >= x.n + y.n - c""",
     "p4_found": f"with {_P4_LINES} select distinct file_path, cast(line_no as int) as line_no from keyed join heavy using (source_type, k)",
     "p4_clean": f"""with {_P4_LINES}
         select file_path, source_type,
