@@ -50,6 +50,8 @@ def pin(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a scan in as many partitions as there are cores, if the files alone give less than half as many. Large inputs stay as they are, without a shuffle."""
+    """Rows of a scan in as many partitions as there are cores, if the files alone give less than half as many. Large inputs, and rows that were shuffled before, stay as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        return rows
     return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
