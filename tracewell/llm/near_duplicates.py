@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.session import new_path, pin
+from tracewell.session import new_path, pin, spread
 
 SHINGLE, MIN_WORDS, SIMILARITY = 3, 40, 0.5
 #: Occurrences in short lists that make a candidate (K above).
@@ -260,7 +260,7 @@ def _merge(similarity: float, parts: int):
     """Merges the short lists of a range of shingles: the pairs of classes that occur together, with how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [b for batch in batches for b in batch.column(batch.schema.names.index("blob")).to_pylist()]
+        blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
         s, cls, n, place = _unpack(blobs, "u8", "i8", "u4", "u4")
         order = np.lexsort((cls, s))
         s, cls, n, place = s[order], cls[order], n[order].astype(np.int64), place[order].astype(np.int64)
@@ -282,7 +282,7 @@ def _merge(similarity: float, parts: int):
             for p in range(parts):
                 o = np.flatnonzero(to == p)
                 if len(o):
-                    rows.append((p, _pack(unique["a"][o], unique["b"][o], hits[o].astype(np.uint16))))
+                    rows.append((p, _pack(unique["a"][o], unique["b"][o], np.minimum(hits[o], 65535).astype(np.uint16))))
             return _batch(["part", "blob"], [pa.int32(), pa.binary()], rows)
 
         step = max(1, CHUNK // 8)
@@ -306,17 +306,16 @@ def _merge(similarity: float, parts: int):
     return run
 
 
-def _count(similarity: float):
-    def run(t: pa.Table) -> pa.Table:
-        a, b, hits = _unpack(t.column("blob").to_pylist(), "i8", "i8", "u2")
-        order = np.lexsort((b, a))
-        a, b, hits = a[order], b[order], hits[order].astype(np.int64)
-        start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-        total = np.add.reduceat(hits, start) if len(a) else hits
-        keep = start[total >= SHORT_HITS]
-        return pa.table({"a": pa.array(a[keep], pa.int64()), "b": pa.array(b[keep], pa.int64())})
-
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up how often pairs of classes occurred together, and keeps those that did so often enough."""
+    blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
+    a, b, hits = _unpack(blobs, "i8", "i8", "u2")
+    order = np.lexsort((b, a))
+    a, b, hits = a[order], b[order], hits[order].astype(np.int64)
+    start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+    total = np.add.reduceat(hits, start) if len(a) else hits
+    keep = start[total >= SHORT_HITS]
+    yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
@@ -403,13 +402,14 @@ def similar_classes(
     in no class.
     """
     spark, shingler = records.sparkSession, (width, min_words)
-    records = records.select("table_name", "key", "content").filter(F.col("key").isNotNull() & F.col("content").isNotNull())
+    records = spread(records.select("table_name", "key", "content").filter(F.col("key").isNotNull() & F.col("content").isNotNull()))
     survey = _survey(records, shingler)
     members = survey.filter("kind = 0").select("table_name", "key", "cls", "n").distinct()
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     entries = _entries(records, _sketch(survey), shingler, similarity, parts)
-    hits = entries.groupBy("part").applyInArrow(_merge(similarity, parts), "part int, blob binary")
-    links = pin(hits.groupBy("part").applyInArrow(_count(similarity), "a bigint, b bigint"), "near-candidates")
+    # a partition for each range of hashes: none holds two by chance
+    hits = entries.repartitionById(parts, "part").mapInArrow(_merge(similarity, parts), "part int, blob binary")
+    links = pin(hits.repartitionById(parts, "part").mapInArrow(_count, "a bigint, b bigint"), "near-candidates")
     needed = links.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     texts = pin(_texts(records, members, needed), "near-texts")
     pairs = links.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
