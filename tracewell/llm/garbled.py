@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm.codecs import CHANNELS, LOST, from_bytes, to_bytes
-from tracewell.session import pin
+from tracewell.session import pin, spread
 
 #: Costs in nats: of a stretch being garbled at all, of going on or changing in it, of a character that was lost.
 ENTER, CHANGE, LOST_COST = 6.9, 3.0, 1.5
@@ -257,7 +257,7 @@ def restore(df: DataFrame, text: str, model: tuple[dict[str, int], dict[str, int
     is then the text itself. Characters that nothing tells stay as they are. Rows keep their number, other columns pass
     through; ones named garbled or restored are replaced.
     """
-    kept = df.drop("garbled", "restored")
+    kept = spread(df.drop("garbled", "restored"))
     shared = df.sparkSession.sparkContext.broadcast(model or train(kept, text))
     schema = T.StructType([*kept.schema, T.StructField("garbled", T.BooleanType()), T.StructField("restored", T.StringType())])
     place = kept.columns.index(text)

@@ -37,8 +37,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contents with placeholders for mentions."""
-    records = _records(spark, sf_dir).distinct()
-    return redact(records, find_personal(records, table(spark, sf_dir, "given_names")))
+    records = _records(spark, sf_dir)
+    return redact(records.distinct(), find_personal(records, table(spark, sf_dir, "given_names")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
