@@ -19,18 +19,18 @@ from tracewell.session import pin, spread
 #: Costs in nats: of a stretch being garbled at all, of going on or changing in it, of a character that was lost.
 ENTER, CHANGE, LOST_COST = 6.9, 3.0, 1.5
 #: A whole UTF-8 sequence out of unrelated characters would be a coincidence of this size.
-SEQUENCE = 2.0
+SEQUENCE = 3.5
 #: A spelling with less than this share of another's occurrences is no word of its own if a channel makes it of the other.
-#: For up to three characters, and for longer ones.
-SHARES = (0.035, 0.15)
+#: For up to three characters, and for longer ones; and for tokens of whole UTF-8 sequences, which are no chance.
+SHARES, SHARE_WHOLE = (0.035, 0.15), 0.5
 #: Cost of a word that was not seen; letters that make a word long.
 UNSEEN, LONG = 3.0, 8
 #: Cost of a stretch that goes on beyond the end of a line.
 LINE = 1.5
 #: A lost character is rarely written on purpose.
-LOST_GAIN = 5.0
-#: A single character is weak evidence, as which one follows depends on its neighbours.
-SINGLE = 1.0
+LOST_GAIN = 7.5
+#: A single character is hardly evidence, as which one follows depends on its neighbours; it goes with a stretch but makes none.
+SINGLE = 0.05
 #: Words and pairs of characters that the model keeps, the most frequent ones.
 MODEL_WORDS, MODEL_PAIRS = 300_000, 300_000
 TOKEN_CACHE = 200_000
@@ -99,14 +99,14 @@ class Model:
         count = self.words.get(word, 0)
         return math.log(count) - self.log_total if count > 1 else -math.inf
 
-    def gain(self, a: str, known: float, spelled: float, restored: str) -> float:
+    def gain(self, a: str, known: float, spelled: float, restored: str, whole: int) -> float:
         """How much likelier the restored word is than the token. A long word that is new is compared by its spelling only, as copies of one text make any word frequent."""
         b = normal(restored)
         if not b or b.isascii():
             return -2.0 - max(known, spelled)
         own, best = self.words.get(a, 0), self.words.get(b, 0)
         # occurrences that are themselves readings of a far more frequent word are no evidence that the word was written so
-        here = spelled if own < SHARES[len(a) > 3] * best else max(known, spelled)
+        here = spelled if own < (SHARE_WHOLE if whole else SHARES[len(a) > 3]) * best else max(known, spelled)
         if best > 1:  # what is spelled alike is not likelier than what was seen
             gain = self.seen(b) - here
         else:
@@ -122,7 +122,7 @@ class Model:
         """Lost characters put back if the most frequent word that fits tells them."""
         word = normal(token)
         gap = FOREIGN.sub(LOST, word)
-        best = self.gaps.get(gap)
+        best = self.gaps.get(gap) if len(gap) - gap.count(LOST) > 1 else None  # else any character fits
         if best is None or len(best[1]) != len(word):
             return token
         at = token.lower().find(word)
@@ -163,7 +163,7 @@ class Model:
                 text = self.fill(text)
             if text == token:
                 continue
-            found.append((c, self.gain(word, known, spelled, text) + SEQUENCE * whole - LOST_COST * text.count(LOST), text))
+            found.append((c, self.gain(word, known, spelled, text, whole if true == "utf_8" else 0) + SEQUENCE * whole - LOST_COST * text.count(LOST), text))
         if LOST in token:
             filled, lost = self.fill(token), token.count(LOST)
             found = [(c, g + LOST_GAIN, t) for c, g, t in found]
