@@ -95,16 +95,18 @@ def route(query: str) -> str:
     return "session" if re.fullmatch(r"[0-9a-f]{8}[-0-9a-f]*", query.strip(), re.I) else "search"
 
 
-def first_wins(results: Sequence[DataFrame], key: str, limit: int, order: Sequence[Column]) -> DataFrame:
-    """Union of result lists: a row counts in the first list that has it; lists in turn, each in its order, up to the limit."""
+def first_wins(results: Sequence[DataFrame], key: str, order: Sequence[Column], limit: int | None = None) -> DataFrame:
+    """Union of result lists: a row counts in the first list that has it; lists in turn, each in its order, up to the limit, if any."""
     from tracewell.operators.topk import latest
 
     every = reduce(DataFrame.unionByName, [r.withColumn("query_no", F.lit(i)) for i, r in enumerate(results)])
-    return latest(every, [key], [F.col("query_no"), *order]).orderBy("query_no", *order).limit(limit)
+    found = latest(every, [key], [F.col("query_no"), *order])
+    return found if limit is None else found.orderBy("query_no", *order).limit(limit)
 
 
-def semantic(memories: DataFrame, sessions: DataFrame, limit: int = 5) -> DataFrame:
+def semantic(memories: DataFrame, sessions: DataFrame, limit: int | None = 5) -> DataFrame:
     """Memory results if there are any, else session results: one plan, decided by a count of the former. Both with columns (origin, key, title)."""
     some = memories.limit(1).agg((F.count(F.lit(1)) > 0).alias("_some"))
     kept = sessions.join(F.broadcast(some), F.lit(True)).filter(~F.col("_some")).drop("_some")  # a single row
-    return memories.unionByName(kept).limit(limit)
+    found = memories.unionByName(kept)
+    return found if limit is None else found.limit(limit)

@@ -21,6 +21,13 @@ def latest(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFr
     return df.distinct().withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
 
 
+def newest(df: DataFrame, key: str, versions: Sequence[str]) -> DataFrame:
+    """One row for each key, that of the highest versions (equal ones: the highest row). One shuffle, combined map-side first, so a key with many rows is no burden; a null key is a key."""
+    rest = [c for c in df.columns if c != key and c not in versions]
+    best = df.groupBy(key).agg(F.max(F.struct(*versions, *rest)).alias("_best"))
+    return best.select(*[F.col(key) if c == key else F.col("_best")[c].alias(c) for c in df.columns])
+
+
 def positions(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
     """Adds each row's place (from 1) in the order of whole columns, without one task seeing all rows.
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tracewell.operators.topk import latest
+from tracewell.operators.topk import newest
 from tracewell.tables import table
 
 #: Time as of which recency counts in the registered queries.
@@ -14,11 +13,11 @@ AS_OF = 1_767_225_600
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest row of each session document."""
-    return latest(table(spark, sf_dir, "session_documents"), ["file_path"], [F.desc("updated_at_epoch")])
+    return newest(table(spark, sf_dir, "session_documents"), "file_path", ["updated_at_epoch"])
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest(table(spark, sf_dir, "observations"), ["id"], [F.desc("updated_at_epoch")])
+    return newest(table(spark, sf_dir, "observations"), "id", ["updated_at_epoch"])
 
 
 DOCS = "docs as (select * from session_documents qualify row_number() over (partition by file_path order by updated_at_epoch desc) = 1)"

@@ -110,7 +110,7 @@ def recall_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of several phrasings in turn, each document once in the first that has it."""
     docs = documents(spark, sf_dir)
     lists = [docs.filter(search.contains_terms([t])).select("file_path", "created_at_epoch") for t in (*TERMS, "watcher")]
-    return search.first_wins(lists, "file_path", 100_000_000, [F.desc("created_at_epoch"), F.col("file_path")]).select("file_path", "query_no")
+    return search.first_wins(lists, "file_path", [F.desc("created_at_epoch"), F.col("file_path")]).select("file_path", "query_no")
 
 
 def semantic_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ def semantic_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = "codex_session"
     notes = observations(spark, sf_dir).filter(F.contains("content", F.lit(word))).select(F.lit("memory").alias("origin"), F.col("id").cast("string").alias("key"), "title")
     docs = documents(spark, sf_dir).filter(F.col("source_type") == word).select(F.lit("session").alias("origin"), F.col("file_path").alias("key"), "title")
-    return search.semantic(notes, docs, 100_000_000)
+    return search.semantic(notes, docs, None)
 
 
 def prewarm_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
