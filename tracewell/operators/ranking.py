@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators.topk import top_k
+from tracewell.session import pin
 
 K1, B = 1.5, 0.75
 RRF_K, MISSING_RANK = 60, 9999
@@ -47,7 +48,7 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 10,
     Lucene's variant of BM25 with k1 1.5 and b 0.75. Only lists of query terms are scored; they meet in a join on the
     term, and each part of a query's hits is cut to k before they meet.
     """
-    index = postings(docs, key, text)
+    index = pin(postings(docs, key, text), "postings")  # used four times below
     frequency, totals = statistics(index)
     wanted = rarest_terms(queries, key, text, frequency, most_terms)
     hits = wanted.join(index, "term").join(F.broadcast(totals), F.lit(True))  # totals is a single row
@@ -60,26 +61,25 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 10,
 def match_all(docs: DataFrame, query: str, key: str, fields: dict[str, float], prefix: bool = False, k: int = 10) -> DataFrame:
     """Documents that hold all words of one query, best first: key, score. fields: weight of each column; a word of the query may be a prefix.
 
-    Frequencies are weighted by field before they saturate; document frequencies count over all documents.
+    Frequencies are weighted by field before they saturate; document frequencies count over all documents. A query
+    without words is an error; documents without words never match.
     """
-    tokens = [t for t in query.lower().replace('"', " ").split() if t]
-    wanted = F.array(*[F.lit(t) for t in tokens])
-    parts = [
-        docs.select(F.col(key).alias("key"), F.lit(w).alias("weight"), F.explode(words(F.col(f))).alias("word")) for f, w in fields.items()
-    ]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    length = every.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
-    totals = length.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    matching = F.filter(wanted, lambda t: F.col("word").startswith(t) if prefix else F.col("word") == t)
-    hits = every.select("key", "weight", F.explode(matching).alias("term")).groupBy("key", "term").agg(F.sum("weight").alias("tf"))
-    frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # as many rows as the query has words
-    scored = hits.join(F.broadcast(frequency), "term").join(length, "key").join(F.broadcast(totals), F.lit(True))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (1.2 + 1) / (F.col("tf") + 1.2 * (1 - B + B * F.col("length") / F.col("mean")))
-    found = scored.groupBy("key").agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("terms")).filter(F.col("terms") == len(set(tokens)))
-    return found.select("key", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "key").limit(k)
+    tokens = list(dict.fromkeys(t for t in query.lower().replace('"', " ").split() if t))
+    split = docs.select(F.col(key).alias("key"), *[words(F.col(f)).alias(f"_{i}") for i, f in enumerate(fields)])
+
+    def weight(t: str) -> Column:
+        hits = [w * F.size(F.filter(f"_{i}", lambda x: x.startswith(t) if prefix else x == F.lit(t))) for i, w in enumerate(fields.values())]
+        return sum(hits[1:], hits[0])
+
+    sizes = [F.size(f"_{i}") for i in range(len(fields))]
+    # a query has few words: their frequencies are columns of one pass, and nothing is shuffled but the totals and the result
+    rows = split.select("key", sum(sizes[1:], sizes[0]).alias("length"), F.array(*map(weight, tokens)).alias("tf")).filter("length > 0")
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(tokens))]).alias("df"))
+    found = rows.filter(F.forall("tf", lambda x: x > 0)).join(F.broadcast(totals), F.lit(True))  # a single row
+    idf = [F.log(1 + (F.col("n") - F.col("df")[i] + 0.5) / (F.col("df")[i] + 0.5)) for i in range(len(tokens))]
+    norm = 1.2 * (1 - B + B * F.col("length") / F.col("mean"))
+    parts = [idf[i] * F.col("tf")[i] * (1.2 + 1) / (F.col("tf")[i] + norm) for i in range(len(tokens))]
+    return found.select("key", F.round(sum(parts[1:], parts[0]), 9).alias("score")).orderBy(F.desc("score"), "key").limit(k)
 
 
 def embed(df: DataFrame, text: str, out: str = "embedding", dim: int = 256) -> DataFrame:
