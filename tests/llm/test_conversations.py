@@ -65,12 +65,12 @@ def test_cases(spark, tmp_path):
         ("split", "a", text("user"), T0), ("split", "b", text("user"), T0 + 86_400_000), ("split", "c", text("ai"), T0 + 86_500_000),
         ("broken", "a", text("user"), T0), ("broken", "b", "{oops", T0 + 1), ("broken", "c", text("ai"), T0 + 2),
         ("untimed", "a", text("user"), T0), ("untimed", "b", text("ai"), None), ("unanswered", "a", text("user"), T0), ("silent", "a", text("system"), T0),
-        ("backward", "a", text("ai"), T0), ("tie", "b", text("ai"), T0), ("tie", "a", text("user"), T0), (None, "a", text("user"), T0), ("tools", "a", json.dumps({"type": "tool"}), T0),
+        ("backward", "a", text("ai"), T0), ("tie", "b", text("ai"), T0), ("tie", "a", text("user"), T0), ("far", "a", text("user"), 90_000_000_000_000), ("far", "b", text("ai"), 90_000_000_000_000_000), (None, "a", text("user"), T0), ("tools", "a", json.dumps({"type": "tool"}), T0),
     ]
     spark.createDataFrame(rows, PARTS).repartition(3).write.parquet(str(tmp_path / "p.parquet"))
     got = rebuild(spark, str(tmp_path / "p.parquet"))
     assert sorted((r.session_id, r.seq, r.part_id, r.role) for r in got.collect()) == plain(rows)
-    assert {r.session_id for r in got.collect()} == {"ok", "long", "tie"}
+    assert {r.session_id for r in got.collect()} == {"ok", "long", "tie", "far"}
 
 
 def test_empty(spark, tmp_path):

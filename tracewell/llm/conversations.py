@@ -124,12 +124,12 @@ def collect_segments(spark: SparkSession, source: str, with_text: bool = True, s
 
     Rows are (session_id, segment, messages, broken). State is keyed by session and span of event time, so that a
     session with a third of all rows is spread over its spans; a set in state takes rows in any order and repeated ones
-    once. The watermark closes a segment `delay` after its span; a row at the end of the input, dated far ahead, closes
+    once. The watermark closes a segment `delay` after its span; a row at the end of the input, dated after all times, closes
     those still open. Broken rows pass beside the state, as they may have no time. Should any row come too late for its
     segment, the stream raises instead of dropping it: give a longer delay then.
     """
     end, out = new_path(spark, "stream-end"), new_path(spark, "segments")
-    spark.sql("select cast(null as string) session_id, 'end' id, '{\"role\": \"user\", \"text\": \"end\"}' data, 4102444800000 time_created").write.parquet(end)
+    spark.sql("select cast(null as string) session_id, 'end' id, '{\"role\": \"user\", \"text\": \"end\"}' data, 99999999999999999 time_created").write.parquet(end)
     source = source.rstrip("/")
     files = f"{source[:-1]}[{source[-1]}]"  # as a glob pattern it may name a single file as well as a folder
     rows = spark.readStream.schema(PARTS).parquet(files).filter("session_id is not null")
