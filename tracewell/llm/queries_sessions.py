@@ -75,6 +75,22 @@ heavy as (select source_type, k from keyed where length(k) >= 12 group by source
             0.05 * (select count(distinct d.file_path) from docs d where d.source_type = keyed.source_type))
 """
 SQL = {
+    "p5_found": r"""with raw as (select distinct session_id, id, data, time_created as t from oc_part where session_id is not null),
+once as (select *, case when json_valid(data) then case when json_type(data) = 'VARCHAR' then data ->> '$' else data end end as d from raw),
+obj as (select *, case when json_valid(d) and json_type(d) = 'OBJECT' then d end as o, case when abs(t) < 100000000000 then t * 1000000 when abs(t) < 100000000000000 then t * 1000 else t end as us from once),
+named as (select *, lower(coalesce(o ->> '$.type', '')) as kind, case when json_type(o, '$.message.role') = 'VARCHAR' then o ->> '$.message.role' when json_type(o, '$.role') = 'VARCHAR' then o ->> '$.role' end as r,
+  case when json_type(o, '$.message.content') = 'VARCHAR' then o ->> '$.message.content' end as t1, case when json_type(o, '$.message') = 'VARCHAR' then o ->> '$.message' end as t2,
+  case when json_type(o, '$.text') = 'VARCHAR' then o ->> '$.text' end as t3,
+  case when json_type(o, '$.content') = 'VARCHAR' then o ->> '$.content' when json_type(o, '$.content') = 'ARRAY' then array_to_string(o ->> '$.content[*].text', ' ') end as t4 from obj),
+told as (select *, lower(trim(coalesce(r, regexp_replace(kind, '_message$', '')))) as who, o is null or us is null as broken,
+  regexp_matches(coalesce(t1, '') || coalesce(t2, '') || coalesce(t3, '') || coalesce(t4, ''), '[^\s\x{a0}\x{3000}]') as has_text from named),
+said as (select session_id, id, us, broken, case when who in ('user', 'human') then 'user' when who in ('assistant', 'ai', 'model', 'bot', 'agent') then 'assistant' when who in ('system', 'developer') then 'system' end as role,
+  has_text and (kind in ('', 'text', 'message', 'chat', 'msg') or regexp_replace(kind, '_message$', '') in ('user', 'human', 'assistant', 'ai', 'model', 'bot', 'agent', 'system', 'developer')) as ok from told),
+whole as (select session_id from said group by 1 having not bool_or(broken)),
+m as (select session_id, id, us, role, row_number() over (partition by session_id order by us, id) as seq from said join whole using (session_id) where ok and role is not null),
+turns as (select *, lag(role) over w as before, lead(role) over w as after from m where role <> 'system' window w as (partition by session_id order by us, id)),
+good as (select session_id from turns group by 1 having not bool_or(role = 'user' and (after is null or after = 'user')) and not bool_or(before is null and role <> 'user'))
+select session_id, seq, id as part_id, role from m join good using (session_id)""",
     "p2_found": r"""with r as (select distinct 'session_documents' as table_name, file_path as key, content from session_documents where file_path is not null and content is not null
   union select distinct 'observations', id::varchar, content from observations where id is not null and content is not null),
 w as (select table_name, key, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') as w from r),
