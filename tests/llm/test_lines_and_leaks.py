@@ -6,8 +6,8 @@ from tests.compare import same
 from tracewell.llm import boilerplate, leaks, queries_sessions, queries_text
 
 
-@pytest.mark.parametrize("name", ["p4_found", "p4_clean"])
-def test_lines_match_sql(spark, sf, name):
+@pytest.mark.parametrize("name", sorted(queries_sessions.SQL))
+def test_queries_match_sql(spark, sf, name):
     same(spark, sf, queries_sessions.QUERIES[name], queries_sessions.SQL[name])
 
 
