@@ -1,6 +1,9 @@
 """Operators on small tables with nulls, ties, repetitions and nothing at all; streams."""
 
 import json
+import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +61,31 @@ def test_vectors(spark):
     assert sizes == {"abc": 1.0, "abd": 1.0, "xyz": 1.0, "": 0.0, None: 0.0}
 
 
+def test_bm25_scores_all_terms_of_a_query(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(20, 60))) for _ in range(60)] + ["", None, "!", "w1 w2"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "i bigint, t string").repartition(3)
+    counts = {i: Counter(t.split()) for i, t in enumerate(texts) if t and t != "!"}
+    df, mean = Counter(w for c in counts.values() for w in c), sum(c.total() for c in counts.values()) / len(counts)
+    expected = set()
+    for query in (i for i in counts if i % 5 == 0):
+        scores = {}
+        for key, c in counts.items():
+            weights = [math.log(1 + (len(counts) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] / (c[w] + 1.5 * (0.25 + 0.75 * c.total() / mean)) for w in counts[query] if w in c]
+            if weights:
+                scores[key] = round(sum(weights), 9)
+        expected |= {(query, key, rank + 1, round(scores[key], 6)) for rank, key in enumerate(sorted(scores, key=lambda x: (-scores[x], x))[:5])}
+    assert max(len(c) for c in counts.values()) > 16
+
+    def got():
+        return {(r["query"], r.key, r["rank"], round(r.score, 6)) for r in ranking.bm25(docs, docs.filter("i % 5 = 0"), "i", "t", 5).collect()}
+
+    assert got() == expected
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", 4)  # several blocks
+    assert got() == expected
+    assert ranking.bm25(docs, docs.limit(0), "i", "t").count() == 0 == ranking.bm25(docs.limit(0), docs, "i", "t").count()
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("only", "z", 1)], "query string, key string, rank int")
     b = spark.createDataFrame([("q", "b", 1), ("q", "c", 2)], "query string, key string, rank int")

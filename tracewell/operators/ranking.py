@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,10 @@ K1, B = 1.5, 0.75
 RRF_K, MISSING_RANK = 60, 9999
 #: Query vectors that are broadcast as one matrix; more go in further passes.
 QUERY_BLOCK = 4096
+#: Pairs of a query and a term that are broadcast at a time.
+TERM_BLOCK = 500_000
+#: Entries of a task's matrices; what adding up a product costs, as a multiple of a product within a matrix.
+CELLS, DENSE = 2_000_000, 80
 
 
 def words(text: Column) -> Column:
@@ -23,39 +28,128 @@ def words(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda t: F.length(t) >= 2)
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, length) of each text; counts are combined before the shuffle."""
-    split = docs.select(F.col(key).alias("key"), words(F.col(text)).alias("words")).withColumn("length", F.size("words"))
-    return split.select("key", "length", F.explode("words").alias("term")).groupBy("key", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, words) of all texts of each key, without those that have no word."""
+    split = docs.select(F.col(key).alias("key"), words(F.col(text)).alias("words"))
+    return split.groupBy("key").agg(F.flatten(F.collect_list("words")).alias("words")).filter(F.size("words") > 0)
 
 
 def statistics(index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term, df) and one row (n, mean length) of an index, over all its documents that have a word."""
-    frequency = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    lengths = index.groupBy("key").agg(F.first("length").alias("length"))
-    return frequency, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    frequency = index.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return frequency, index.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"))
 
 
-def rarest_terms(queries: DataFrame, key: str, text: str, frequency: DataFrame, most: int) -> DataFrame:
-    """(query, term, df): the rarest known terms of each query text."""
-    terms = queries.select(F.col(key).alias("query"), F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
-    return top_k(terms.join(frequency, "term"), ["query"], [F.col("df"), F.col("term")], most).drop("rank")
+def known_terms(queries: DataFrame, key: str, text: str, frequency: DataFrame) -> DataFrame:
+    """(query, term, df): all distinct terms of each query text that some document has."""
+    terms = queries.select(F.col(key).alias("query"), F.explode(F.array_distinct(words(F.col(text)))).alias("term")).distinct()
+    return terms.join(frequency, "term").select("query", "term", "df")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 10, most_terms: int = 8) -> DataFrame:
-    """The k best documents of each query: query, key, score, rank. Queries are rows (key, text) too, reduced to their rarest terms.
+def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 10) -> DataFrame:
+    """The k best documents of each query: query, key, score, rank. Queries are rows (key, text) too, and all their distinct terms count.
 
-    Lucene's variant of BM25 with k1 1.5 and b 0.75. Only lists of query terms are scored; they meet in a join on the
-    term, and each part of a query's hits is cut to k before they meet.
+    Lucene's variant of BM25 with k1 1.5 and b 0.75. Queries are broadcast in blocks of QUERY_BLOCK queries or TERM_BLOCK
+    terms, each block one pass over all documents: a sparse product for each chunk of documents, of which each task keeps
+    k rows of a query. Work is the number of terms that queries and documents share, so it grows with both.
     """
-    index = pin(postings(docs, key, text), "postings")  # used four times below
+    index = pin(tokens(docs, key, text), "tokens")  # used for statistics and by each block
     frequency, totals = statistics(index)
-    wanted = rarest_terms(queries, key, text, frequency, most_terms)
-    hits = wanted.join(index, "term").join(F.broadcast(totals), F.lit(True))  # totals is a single row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.groupBy("query", "key").agg(F.sum(weight).alias("score")).filter("score > 0")
-    return top_k(scored.withColumn("score", F.round("score", 9)), ["query"], [F.desc("score"), F.col("key")], k)
+    wanted = pin(known_terms(queries, key, text, frequency), "query-terms")
+    n, mean = totals.first()
+    size = wanted.agg(F.countDistinct("query"), F.count(F.lit(1))).first()
+    parts = max(-(-size[0] // QUERY_BLOCK), -(-size[1] // TERM_BLOCK), 1)
+    if parts > 1:
+        parts *= 2
+    found = None
+    kinds = queries.schema[key].dataType.simpleString(), docs.schema[key].dataType.simpleString()
+    for p in range(parts):
+        block = wanted.filter(F.pmod(F.xxhash64("query"), F.lit(parts)) == p).toArrow()
+        part = _bm25_block(index, block, n, mean or 1.0, kinds, k)
+        found = part if found is None else found.unionByName(part)
+    return top_k(found, ["query"], [F.desc("score"), F.col("key")], k)
+
+
+def _bm25_block(index: DataFrame, block: pa.Table, n: int, mean: float, kinds: tuple[str, str], k: int) -> DataFrame:
+    query = block.column("query").combine_chunks().dictionary_encode(null_encoding="encode")
+    term = block.column("term").combine_chunks().dictionary_encode()
+    names, vocabulary, asked = query.dictionary, term.dictionary, len(query.dictionary)
+    q, t = np.asarray(query.indices, np.int64), np.asarray(term.indices, np.int64)
+    df, qf = np.zeros(len(vocabulary)), np.bincount(t, minlength=len(vocabulary))
+    df[t] = block.column("df").to_numpy()
+    q = q[np.argsort(t, kind="stable")]  # the queries of each term, term after term
+    start = np.cumsum(qf) - qf
+    # terms that many queries and documents have are columns of a matrix; to add up the rest one by one is less work
+    dense = np.flatnonzero(df * qf * DENSE > float(n) * asked)
+    dense = dense[np.argsort(-(df * qf)[dense], kind="stable")][: CELLS // max(1, asked)]
+    shared = index.sparkSession.sparkContext.broadcast((names, vocabulary, np.log(1 + (n - df + 0.5) / (df + 0.5)), q, qf, start, dense))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vocabulary, idf, q, qf, start, dense = shared.value
+        terms = len(vocabulary)
+        if not terms:
+            return
+        column = np.full(terms, -1)
+        column[dense] = np.arange(len(dense))
+        has = np.zeros((asked, len(dense)))
+        for i, t in enumerate(dense):
+            has[q[start[t] : start[t] + qf[t]], i] = 1
+        step = max(1, CELLS // asked)
+        least = np.zeros(asked)  # what a document must reach to be among the k best that the task has seen
+        held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        size = 0
+
+        def best() -> list[tuple[np.ndarray, pa.Array, np.ndarray]]:
+            own, keys, score = np.concatenate([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            by_key = np.empty(len(own), np.int64)
+            by_key[pc.sort_indices(keys, null_placement="at_start").to_numpy()] = np.arange(len(own))
+            order = np.lexsort((by_key, -score, own))
+            place = np.arange(len(own)) - np.searchsorted(own[order], own[order])
+            last = order[place == k - 1]
+            least[own[last]] = score[last]
+            order = order[place < k]
+            return [(own[order], keys.take(pa.array(order)), score[order])]
+
+        for batch in batches:
+            keys, lists = batch.column(0), batch.column(1)
+            lengths = np.asarray(lists.value_lengths(), np.int64)
+            values = lists.flatten()
+            ids = pc.index_in(values, value_set=vocabulary.cast(values.type)).fill_null(-1).to_numpy()
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            for at in range(0, len(lengths), step):
+                to = min(len(lengths), at + step)
+                m = to - at
+                d, t = np.repeat(np.arange(m), lengths[at:to]), ids[ends[at] : ends[to]]
+                code, tf = np.unique(d[t >= 0] * terms + t[t >= 0], return_counts=True)
+                d, t = code // terms, code % terms
+                w = idf[t] * tf / (tf + K1 * (1 - B + B * lengths[at:to][d] / mean))
+                wide = column[t] >= 0
+                matrix = np.zeros((m, len(dense)))
+                matrix[d[wide], column[t[wide]]] = w[wide]
+                scores = has @ matrix.T
+                d, t, w = d[~wide], t[~wide], w[~wide]
+                sums = np.cumsum(qf[t])
+                x = 0
+                while x < len(t):
+                    y = max(x + 1, int(np.searchsorted(sums, (sums[x - 1] if x else 0) + CELLS, side="right")))
+                    times = qf[t[x:y]]
+                    which = np.repeat(np.arange(x, y), times)
+                    of = q[start[t[which]] + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)]
+                    scores += np.bincount(of * m + d[which], weights=w[which], minlength=asked * m).reshape(asked, m)
+                    x = y
+                scores = np.round(scores, 9)
+                enough = np.maximum(least, np.partition(scores, m - k, axis=1)[:, m - k]) if m > k else least
+                own, place = np.nonzero((scores > 0) & (scores >= enough[:, None]))
+                held.append((own, keys.take(pa.array(place + at)), scores[own, place]))
+                size += len(own)
+                if size > max(CELLS, 2 * asked * k):
+                    held[:] = best()
+                    size = len(held[0][0])
+        if held:
+            [(own, keys, score)] = best()
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(own)), keys, pa.array(score)], names=["query", "key", "score"])
+
+    return index.select("key", "words").mapInArrow(run, f"query {kinds[0]}, key {kinds[1]}, score double")
 
 
 def match_all(docs: DataFrame, query: str, key: str, fields: dict[str, float], prefix: bool = False, k: int = 10) -> DataFrame:
