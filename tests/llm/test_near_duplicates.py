@@ -46,6 +46,13 @@ def test_all_pairs_of_edited_copies(spark):
     assert got == sorted(plain(rows)) and len(got) > 100
 
 
+def test_pairs_that_share_few_shingles(spark):
+    texts = ["ok " * 40, "ok " * 60, "a b c " * 20, "a b c " * 30, "b c a " * 20, "c d " * 25, "c d " * 40, "e f g h " * 15, "e f g h " * 25, "ok " * 45 + "no", "ok " * 50 + "no no", "a b c " * 20 + "d", "c d " * 30 + "e f"]
+    rows = [("t", f"{i:02}", x) for i, x in enumerate(texts)]
+    got = sorted(map(tuple, similar_pairs(spark.createDataFrame(rows, "table_name string, key string, content string")).collect()))
+    assert got == sorted(plain(rows)) and ("t", "00", "01") in got and ("t", "02", "03") in got
+
+
 def test_empty_table(spark):
     assert similar_pairs(spark.createDataFrame([], "table_name string, key string, content string")).count() == 0
 

@@ -3,7 +3,8 @@
 The inverted lists of all shingles are split in two for each record: of a record with n shingles that must share T of
 them with another, the T - K longest lists are set aside, and the short ones are merged. What occurs at least K times in
 the short lists of both is a candidate, and its shingles are then probed in the long ones by binary search. All pairs
-that reach the overlap are found: a pair that shares T shingles shares at least K in the first n - T + K of each.
+that reach the overlap are found: a pair that shares T shingles shares at least K in the first n - T + K of each. Where
+T is less than K, as with records that repeat few shingles, all their lists are short and T occurrences are enough.
 
 Lists are told long from short by a sketch of all shingles' counts. It orders shingles alike for all records, which is
 all that exactness needs; a coarser sketch only costs time.
@@ -296,6 +297,8 @@ def _merge(similarity: float, parts: int):
                 good = (place[x] < n[x] - need + SHORT_HITS) & (place[y] < n[y] - need + SHORT_HITS) & (np.minimum(n[x], n[y]) >= need)
                 x, y = x[good], y[good]
                 if len(x):
+                    # occurrences weigh more where fewer than SHORT_HITS are needed, so that as many reach it
+                    x, y = (np.repeat(e, -(-SHORT_HITS // np.clip(need[good], 1, SHORT_HITS))) for e in (x, y))
                     held.append(np.stack([cls[x], cls[y]], 1))  # within a list classes ascend
                     size += len(x)
                     if size >= CHUNK:
