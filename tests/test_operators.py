@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import memory, prewarm, ranking, search, sessions, topk
+from tracewell.operators import memory, prewarm, ranking, scan, search, sessions, topk
 from tracewell.streaming.live import close_sessions, run_to_end, sanitise
 
 
@@ -111,6 +111,21 @@ def test_prewarm_reasons(spark):
     assert got == ["trivial", "cold-start", "same-topic", "continuation", "structural", "new-topic"]
 
 
+def test_source_totals_show_the_best_session(spark):
+    kind = "source string, path string, session_id string, lines bigint, size_bytes bigint, first_timestamp string, last_timestamp string, snippet string, match_field string, match_score int"
+    rows = [
+        ("a", "/1", "s1", 1, 10, "t1", "t9", "x1", "f", 5), ("a", "/9", "s2", 2, 20, "t2", "t3", "x2", "g", 7), ("a", "/8", "s3", 3, 30, "t9", None, "x3", "f", 7),
+        ("b", "/ab", "s4", 1, 1, None, "t1", "x4", "f", 1), ("b", "/a", "s5", 1, 1, "t0", "t1", "x5", "f", 1), ("b", "/abc", "s6", 1, 1, "t0", "t1", "x6", "f", 1),
+        ("c", "/é", "s7", 1, 1, None, None, None, None, 0), ("c", "/z", "s8", 1, 1, None, None, None, None, 0),
+    ]
+    labels = spark.createDataFrame([("a",), ("b",), ("c",), ("none",)], "source string")
+    got = sorted(map(tuple, scan.source_totals(spark.createDataFrame(rows, kind).repartition(4), labels).collect()))
+    assert got == [
+        ("a", 3, 6, 60, "/9", "s2", "t2", "t3", "x2", "g"), ("b", 3, 3, 3, "/a", "s5", "t0", "t1", "x5", "f"), ("c", 2, 2, 2, "/z", "s8", None, None, None, None),
+        ("none", 0, 0, 0, None, None, None, None, None, None),
+    ]
+
+
 def test_repeats_and_sessions(spark):
     rows = spark.createDataFrame([("s", i, m) for i, m in enumerate(["a", "a", None, None, "a", "b"])], "s string, i int, m string")
     assert [r.i for r in sessions.drop_repeats(rows, "s", ["i"], "m").orderBy("i").collect()] == [0, 2, 4, 5]

@@ -90,12 +90,20 @@ def scan(lines: DataFrame, query: str, active_dir: str | None = None, limit: int
 
 
 def source_totals(summaries: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Sessions, lines and bytes of each source, with its best session's path; labels without a session get zeros."""
-    best = F.struct(F.coalesce("match_score", F.lit(0)).alias("s"), F.coalesce("last_timestamp", F.lit("")).alias("l"))
+    """Sessions, lines and bytes of each source, with its best session as a sample; labels without a session get zeros and no sample.
+
+    The best is the first by score, last and first timestamp (high ones first, absent ones last), and path.
+    """
+    # bytes of the path turned round, and a digit above all others at its end: the highest is the path that comes first
+    path = F.concat(F.translate(F.hex("path"), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    sample = ["path", "session_id", "snippet", "match_field"]
+    best = F.struct(F.coalesce("match_score", F.lit(0)).alias("score"), "last_timestamp", "first_timestamp", F.coalesce(path, F.lit("H")).alias("turned"), *sample)
     totals = summaries.groupBy("source").agg(
-        F.count(F.lit(1)).alias("session_count"), F.sum("lines").alias("total_lines"), F.sum("size_bytes").alias("total_bytes"), F.max(best).alias("_best"), F.min("path").alias("first_path")
+        F.count(F.lit(1)).alias("session_count"), F.sum("lines").alias("total_lines"), F.sum("size_bytes").alias("total_bytes"), F.max(best).alias("_best")
+    )
+    totals = totals.select(
+        "source", "session_count", "total_lines", "total_bytes", F.col("_best.path").alias("first_path"), "_best.session_id", "_best.first_timestamp", "_best.last_timestamp", "_best.snippet", "_best.match_field"
     )
-    totals = totals.drop("_best")
     if labels is None:
         return totals
     zeros = {c: 0 for c in ("session_count", "total_lines", "total_bytes")}
