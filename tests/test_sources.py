@@ -6,6 +6,8 @@ import sqlite3
 from pyspark.sql import functions as F
 
 from tracewell.operators.scan import scan
+from tracewell.plans.base import documents
+from tracewell.plans.data import joined_pieces
 from tracewell.sources import lines, tables, transcripts
 
 
@@ -62,6 +64,19 @@ def test_content_is_capped_in_order(spark):
     assert got == {"a": "x" * 10 + "\n" + "x" * 10 + "\n" + "x" * 3}
 
 
+def test_joined_pieces_keep_whole_texts(spark, sf):
+    expected = {}
+    for r in documents(spark, sf).filter("machine_id is not null").orderBy("created_at_epoch", "file_path").collect():
+        if title := " ".join((r.title or "").split()):
+            expected.setdefault(r.machine_id, []).append(title)
+    rows = joined_pieces(spark, sf).collect()
+    assert {(r.machine_id, r.place, r.text) for r in rows} == {(m, i + 1, t) for m, all_ in expected.items() for i, t in enumerate(all_)}
+    assert len(rows) == sum(map(len, expected.values()))
+    pieces = spark.createDataFrame([("a", i, f"{i:05} x") for i in range(1000)] + [("b", 0, None), ("c", 1, " y \n z ")], "path string, at int, text string")
+    got = sorted(map(tuple, lines.ordered_pieces(pieces.repartition(5)).collect()))
+    assert got == [("a", i + 1, f"{i:05} x") for i in range(1000)] + [("c", 1, "y z")]
+
+
 def test_markdown(spark, tmp_path):
     (tmp_path / "conversations").mkdir()
     (tmp_path / "conversations/note_s9.md").write_text("# Title\nTags: a, b,\nDate: 2024-01-02T00:00:00Z\n## Content\nbody <private>no</private>\nend")

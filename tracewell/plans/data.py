@@ -9,7 +9,7 @@ from tracewell.functions.text import compact_snippet, fingerprint, is_noise, jac
 from tracewell.functions.vocabulary import SECRET_MARKS, SECRETS
 from tracewell.operators import memory, scan, sessions
 from tracewell.plans.base import DOCS, OBS, documents, observations
-from tracewell.sources.lines import join_pieces
+from tracewell.sources.lines import ordered_pieces
 from tracewell.sources.exports import memory_note, session_notes
 from tracewell.sources.tables import part_texts, session_documents
 from tracewell.streaming.live import close_sessions, run_to_end, stable_documents
@@ -132,9 +132,9 @@ def chat_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def joined_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of each machine's documents joined in order, up to 2,000 characters."""
+    """Titles of each machine's documents in order, all of them: a row for each piece of the joined text."""
     rows = documents(spark, sf_dir).filter("machine_id is not null").select("machine_id", F.struct("created_at_epoch", "file_path").alias("at"), F.col("title").alias("text"))
-    return join_pieces(rows, "machine_id", cap=2000).select("machine_id", F.length("content").alias("n"), F.md5("content").alias("content_md5"))
+    return ordered_pieces(rows, "machine_id")
 
 
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import compact
+from tracewell.operators.topk import positions
 
 #: Characters that a document's content keeps, separators counted.
 CONTENT_CAP, TITLE_CAP = 24_000, 300
@@ -56,6 +57,17 @@ def join_pieces(pieces: DataFrame, key: str = "path", at: str = "at", text: str
     return gathered.select(key, F.array_join(F.col("_all._text"), "\n").alias("content"))
 
 
+def ordered_pieces(pieces: DataFrame, key: str = "path", at: str = "at", text: str = "text") -> DataFrame:
+    """(key, place, text): all pieces of each key, white space compacted, with their place from 1. In this order, joined by line ends, they are the key's whole text.
+
+    Places come from range partitions, so that a key of any size is never gathered in one task.
+    """
+    clean = pieces.select(key, F.col(at).alias("_at"), compact(F.col(text)).alias("_text")).filter("_text is not null and _text <> ''")
+    placed = positions(clean, [key, "_at", "_text"], "_position")
+    first = placed.groupBy(key).agg(F.min("_position").alias("_first"))
+    return placed.join(first, key).select(key, (F.col("_position") - F.col("_first") + 1).alias("place"), F.col("_text").alias(text))
+
+
 def finish(meta: DataFrame, contents: DataFrame, source_type: str, needs_content: bool) -> DataFrame:
     """Documents from (path, session_id, title, created_at, mtime, size) and their contents. Without content the title stands in, or no document is made."""
     docs = meta.join(contents, "path", "inner" if needs_content else "left")
