@@ -1,6 +1,7 @@
 """Operators on small tables with nulls, ties, repetitions and nothing at all; streams."""
 
 import json
+import os
 import math
 import random
 from collections import Counter
@@ -134,6 +135,7 @@ def test_repeats_and_sessions(spark):
 def test_stream_closes_sessions_like_a_batch(spark, tmp_path):
     for n, texts in enumerate([[("s", "00:00:00", "a"), ("s", "00:01:00", "b <private>x</private>")], [("s", "02:00:00", "c"), ("s", "02:01:00", " "), ("s", "02:02:00", "d")], [("z", "09:00:00", "end")]]):
         (tmp_path / f"{n}.json").write_text("\n".join(json.dumps({"k": k, "ts": f"2024-01-01T{t}", "text": x}) for k, t, x in texts))
+        os.utime(tmp_path / f"{n}.json", (1_700_000_000 + n,) * 2)  # the file source takes files in the order of their times
     schema = "k string, ts timestamp, text string"
     stream = sanitise(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path)))
     batches = []
