@@ -1,5 +1,7 @@
 """Every registered core query against its SQL, or at least run to its end."""
 
+import re
+
 import pytest
 
 import __spark_entry__
@@ -24,3 +26,12 @@ def test_runs(spark, sf, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["source_stats", "newest_of_source", "sync_changes", "scan_freshness", "scan_totals", "export_newest", "tag_counts", "timeline_neighbours"])
+def test_contents_are_not_shuffled(spark, sf, name):
+    """Queries on a few narrow columns read no contents, or (where they count missing ones) only whether they are there."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        if "Aggregate" in line or "Project" in line:
+            assert not re.search(r"(?<!isnull\()\bcontent#", line)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import fingerprint, normal_tags, redact_secrets, strip_private
-from tracewell.operators.topk import latest, positions
+from tracewell.operators.topk import latest, newest, positions
 
 
 def timeline(rows: DataFrame, anchors: DataFrame, before: int = 3, after: int = 3) -> DataFrame:
@@ -41,7 +41,7 @@ def changes(listed: DataFrame, indexed: DataFrame, key: str, versions: list[str]
 def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """old with the rows of new in place of those of the same key; of several the highest version counts, new before old."""
     every = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return latest(every, [key], [F.desc(version), F.desc("_new")]).drop("_new")
+    return newest(every, key, [version, "_new"]).drop("_new")
 
 
 def reconcile(stored: DataFrame, files: DataFrame) -> DataFrame:

@@ -23,8 +23,18 @@ def latest(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFr
     return df.distinct().withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
 
 
-def newest(df: DataFrame, key: str, versions: Sequence[str]) -> DataFrame:
-    """One row for each key, that of the highest versions (equal ones: the highest row). One shuffle, combined map-side first, so a key with many rows is no burden; a null key is a key."""
+def newest(df: DataFrame, key: str, versions: Sequence[str], columns: Sequence[str | Column] = ()) -> DataFrame:
+    """One row for each key, that of the highest versions (equal ones: the highest row). One shuffle, combined map-side first, so a key with many rows is no burden; a null key is a key.
+
+    With columns, the result is the key and these; nothing else is read or shuffled. An expression among them is computed
+    for each row before the newest is found.
+    """
+    if columns:
+        wanted = [c for c in columns if not (isinstance(c, str) and c == key)]
+        names = df.select(*wanted).columns
+        rows = df.select(key, F.struct(*versions).alias("_version"), *wanted)
+        best = rows.groupBy(key).agg(F.max(F.struct("_version", *names)).alias("_best"))
+        return best.select(key, *[F.col("_best")[c].alias(c) for c in names])
     rest = [c for c in df.columns if c != key and c not in versions]
     best = df.groupBy(key).agg(F.max(F.struct(*versions, *rest)).alias("_best"))
     return best.select(*[F.col(key) if c == key else F.col("_best")[c].alias(c) for c in df.columns])

@@ -28,14 +28,14 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sync_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents a scan's listing adds, changes and drops."""
     listed = table(spark, sf_dir, "session_summary").groupBy("path").agg(F.max("size_bytes").alias("size")).withColumnRenamed("path", "file_path")
-    indexed = documents(spark, sf_dir).select("file_path", F.col("file_size").alias("size"))
+    indexed = documents(spark, sf_dir, F.col("file_size").alias("size"))
     return memory.changes(listed, indexed, "file_path", ["size"])
 
 
 def memory_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a sync does with stored observations, were the session documents its files."""
-    stored = observations(spark, sf_dir)
-    files = documents(spark, sf_dir).select("file_path", F.sha2(F.concat_ws("|", "file_path", F.col("file_size").cast("string")), 256).alias("fingerprint"))
+    stored = observations(spark, sf_dir, "file_path", "fingerprint", "source_type", "updated_at_epoch")
+    files = documents(spark, sf_dir, "file_size").select("file_path", F.sha2(F.concat_ws("|", "file_path", F.col("file_size").cast("string")), 256).alias("fingerprint"))
     return memory.reconcile(stored, files).select("action", "file_path", "id")
 
 
@@ -47,7 +47,7 @@ def import_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.export_rows(observations(spark, sf_dir), 500).select("id", "created_at_epoch")
+    return memory.export_rows(observations(spark, sf_dir, "created_at_epoch"), 500).select("id", "created_at_epoch")
 
 
 def embed_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,14 +63,14 @@ def vector_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return docs.groupBy("source_type").agg(F.count(F.lit(1)).alias("n"), F.max("created_at_epoch").alias("newest"), F.sum("file_size").alias("bytes"), F.count_if(F.col("content").isNull()).alias("without_content"))
+    docs = documents(spark, sf_dir, "source_type", "created_at_epoch", "file_size", F.col("content").isNull().alias("bare"))
+    return docs.groupBy("source_type").agg(F.count(F.lit(1)).alias("n"), F.max("created_at_epoch").alias("newest"), F.sum("file_size").alias("bytes"), F.count_if("bare").alias("without_content"))
 
 
 def scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan summaries by source, with zeros for sources of the index that a scan did not meet."""
     rows = table(spark, sf_dir, "session_summary").distinct()
-    labels = documents(spark, sf_dir).select(F.col("source_type").alias("source")).union(spark.sql("select 'copilot_session'"))
+    labels = documents(spark, sf_dir, F.col("source_type").alias("source")).select("source").union(spark.sql("select 'copilot_session'"))
     return scan.source_totals(rows, labels)
 
 
@@ -96,26 +96,24 @@ def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noise_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return docs.select("file_path", is_noise(F.col("content")).alias("noise"), path_only(F.col("title"), F.col("content")).alias("path_only"))
+    return documents(spark, sf_dir, is_noise(F.col("content")).alias("noise"), path_only(F.col("title"), F.col("content")).alias("path_only"))
 
 
 def short_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations(spark, sf_dir).filter("content is not null").select("id", compact_snippet(F.col("content")).alias("snippet"))
+    return observations(spark, sf_dir, compact_snippet(F.col("content")).alias("snippet")).filter("snippet is not null")
 
 
 def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = observations(spark, sf_dir).select(F.explode(normal_tags(F.col("tags_json"))).alias("tag"))
+    tags = observations(spark, sf_dir, "tags_json").select(F.explode(normal_tags(F.col("tags_json"))).alias("tag"))
     return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("file_path", safe_name(F.col("title")).alias("name"))
+    return documents(spark, sf_dir, safe_name(F.col("title")).alias("name"))
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = observations(spark, sf_dir)
-    return rows.select("id", fingerprint(F.col("source_type"), F.col("title"), F.col("content"), F.col("created_at_epoch")).alias("own"))
+    return observations(spark, sf_dir, fingerprint(F.col("source_type"), F.col("title"), F.col("content"), F.col("created_at_epoch")).alias("own"))
 
 
 def tag_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +131,7 @@ def chat_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def joined_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of each machine's documents in order, all of them: a row for each piece of the joined text."""
-    rows = documents(spark, sf_dir).filter("machine_id is not null").select("machine_id", F.struct("created_at_epoch", "file_path").alias("at"), F.col("title").alias("text"))
+    rows = documents(spark, sf_dir, "machine_id", "created_at_epoch", "title").filter("machine_id is not null").select("machine_id", F.struct("created_at_epoch", "file_path").alias("at"), F.col("title").alias("text"))
     return ordered_pieces(rows, "machine_id")
 
 
@@ -164,14 +162,13 @@ def session_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = observations(spark, sf_dir)
     note = memory_note(F.col("title"), normal_tags(F.col("tags_json")), F.coalesce("created_at", F.lit("")), F.col("content"))
-    return rows.select("id", F.md5(note).alias("note_md5"))
+    return observations(spark, sf_dir, F.md5(note).alias("note_md5"))
 
 
 def scan_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each source when it last changed, and how many documents and machines it has."""
-    docs = documents(spark, sf_dir)
+    docs = documents(spark, sf_dir, "source_type", "file_mtime", "machine_id")
     return docs.groupBy("source_type").agg(F.max("file_mtime").alias("newest"), F.min("file_mtime").alias("oldest"), F.countDistinct("machine_id").alias("machines"))
 
 
@@ -253,8 +250,11 @@ select * from known union all select * from open union all select * from removed
     "vector_orphans": "select distinct vec_id as doc_id from embeddings where vec_id not in (select doc_id from documents)",
     "source_stats": f"with {DOCS} select source_type, count(*) as n, max(created_at_epoch) as newest, sum(file_size)::bigint as bytes, count(*) filter (content is null) as without_content from docs group by 1",
     "scan_totals": f"""with {DOCS}, labels as (select distinct source_type as source from docs union select 'copilot_session'), rows_ as (select distinct * from session_summary),
-t as (select source, count(*) as session_count, sum(lines)::bigint as total_lines, sum(size_bytes)::bigint as total_bytes, min(path) as first_path from rows_ group by 1)
-select source, coalesce(session_count, 0) as session_count, coalesce(total_lines, 0) as total_lines, coalesce(total_bytes, 0) as total_bytes, first_path from labels left join t using (source)""",
+t as (select source, count(*) as session_count, sum(lines)::bigint as total_lines, sum(size_bytes)::bigint as total_bytes from rows_ group by 1),
+b as (select source, path as first_path, session_id, first_timestamp, last_timestamp, snippet, match_field from rows_ qualify row_number() over (partition by source order by coalesce(match_score, 0) desc,
+  last_timestamp desc nulls last, first_timestamp desc nulls last, path nulls first, session_id desc nulls last, snippet desc nulls last, match_field desc nulls last) = 1)
+select source, coalesce(session_count, 0) as session_count, coalesce(total_lines, 0) as total_lines, coalesce(total_bytes, 0) as total_bytes, first_path, session_id, first_timestamp, last_timestamp, snippet, match_field
+from labels left join t using (source) left join b using (source)""",
     "scan_order": """select path, match_score, match_field from (select distinct * from session_summary) where snippet is not null
         order by match_score desc, last_timestamp desc nulls last, first_timestamp desc nulls last, path limit 50""",
     "short_snippets": rf"""with {OBS}, c as (select id, trim(regexp_replace(content, '[\s\x{{a0}}\x{{3000}}]+', ' ', 'g'), ' ') as c from obs where content is not null)
@@ -289,8 +289,6 @@ select file_path, t as changed from w where length(content) >= 400""",
     "noise_flags": rf"""with {DOCS}, c as (select file_path, trim(regexp_replace(coalesce(title, ''), '\s+', ' ', 'g'), ' ') as t, trim(regexp_replace(coalesce(content, ''), '\s+', ' ', 'g'), ' ') as c from docs)
 select file_path, c = '' or contains(c, '### Available skills') or contains(c, 'You are Codex') or contains(c, 'You are Claude') or contains(c, '<environment_context>')
   or (length(c) - length(replace(c, 'SKILL.md', ''))) / 8 >= 3 as noise, t <> '' and t = c and contains(c, '/') and not regexp_matches(c, '[。，.:]') as path_only from c""",
-    "joined_pieces": rf"""with {DOCS}, p as (select machine_id, created_at_epoch, file_path, trim(regexp_replace(title, '\s+', ' ', 'g'), ' ') as t from docs where machine_id is not null and title is not null),
-q as (select *, 2000 - coalesce(sum(length(t) + 1) over (partition by machine_id order by created_at_epoch, file_path rows between unbounded preceding and 1 preceding), 0) as room from p where t <> ''),
-j as (select machine_id, string_agg(substr(t, 1, room::bigint), chr(10) order by created_at_epoch, file_path) as content from q where room > 0 group by 1)
-select machine_id, length(content)::int as n, md5(content) as content_md5 from j""",
+    "joined_pieces": rf"""with {DOCS}, p as (select machine_id, created_at_epoch, file_path, trim(regexp_replace(title, '\s+', ' ', 'g'), ' ') as text from docs where machine_id is not null and title is not null)
+select machine_id, row_number() over (partition by machine_id order by created_at_epoch nulls first, file_path) as place, text from p where text <> ''""",
 }

@@ -15,29 +15,33 @@ from tracewell.tables import table
 
 QUERY = "frozen scanner juniper"
 TERMS = query_terms(QUERY)
+#: Key and versions of session documents.
+VERSIONS = ("file_path", ["updated_at_epoch"])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranked search over all session documents: the ten best for a query."""
-    return search.search(documents(spark, sf_dir), QUERY, AS_OF).select("file_path", "source_type", "created_at_epoch", "score")
+    docs = table(spark, sf_dir, "session_documents")
+    return search.search(docs, QUERY, AS_OF, versions=VERSIONS).select("file_path", "source_type", "created_at_epoch", "score")
 
 
 def like_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.candidates(documents(spark, sf_dir), TERMS).select("file_path", "created_at_epoch")
+    docs = documents(spark, sf_dir, "created_at_epoch", search.contains_terms(TERMS).alias("held"))
+    return search.newest_first(docs.filter("held")).select("file_path", "created_at_epoch")
 
 
 def rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return search.rank(docs.filter(search.contains_terms(TERMS)), TERMS, AS_OF).select("file_path", "score")
+    return search.rank(table(spark, sf_dir, "session_documents"), TERMS, AS_OF, versions=VERSIONS).select("file_path", "score")
 
 
 def session_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.lookup_session(documents(spark, sf_dir), "A3", 1000).select("file_path", "session_id")
+    return search.lookup_session(documents(spark, sf_dir, "session_id", "created_at_epoch"), "A3", 1000).select("file_path", "session_id")
 
 
 def term_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents hold each term of the query, one pass for all."""
-    row = documents(spark, sf_dir).agg(*[F.count_if(search.contains_terms([t])).alias(t) for t in TERMS])
+    held = documents(spark, sf_dir, *[search.contains_terms([t]).alias(f"_{i}") for i, t in enumerate(TERMS)])
+    row = held.agg(*[F.count_if(f"_{i}").alias(t) for i, t in enumerate(TERMS)])
     return row.select(F.inline(F.array(*[F.struct(F.lit(t).alias("term"), F.col(t).alias("n_docs")) for t in TERMS])))
 
 
@@ -91,7 +95,7 @@ def embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timeline_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = observations(spark, sf_dir)
+    rows = observations(spark, sf_dir, "created_at_epoch")
     return memory.timeline(rows, rows.filter("id % 100 = 0"), 3, 3).select("anchor", "id", "created_at_epoch", "side")
 
 
@@ -108,34 +112,32 @@ def result_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recall_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of several phrasings in turn, each document once in the first that has it."""
-    docs = documents(spark, sf_dir)
-    lists = [docs.filter(search.contains_terms([t])).select("file_path", "created_at_epoch") for t in (*TERMS, "watcher")]
-    return search.first_wins(lists, "file_path", [F.desc("created_at_epoch"), F.col("file_path")]).select("file_path", "query_no")
+    number = search.first_phrasing([[t] for t in (*TERMS, "watcher")])
+    return documents(spark, sf_dir, number.alias("query_no")).filter("query_no is not null")
 
 
 def semantic_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memory before sessions: where no observation holds the text, sessions answer."""
     word = "codex_session"
-    notes = observations(spark, sf_dir).filter(F.contains("content", F.lit(word))).select(F.lit("memory").alias("origin"), F.col("id").cast("string").alias("key"), "title")
-    docs = documents(spark, sf_dir).filter(F.col("source_type") == word).select(F.lit("session").alias("origin"), F.col("file_path").alias("key"), "title")
+    notes = observations(spark, sf_dir, "title", F.contains("content", F.lit(word)).alias("held")).filter("held").select(F.lit("memory").alias("origin"), F.col("id").cast("string").alias("key"), "title")
+    docs = documents(spark, sf_dir, "source_type", "title").filter(F.col("source_type") == word).select(F.lit("session").alias("origin"), F.col("file_path").alias("key"), "title")
     return search.semantic(notes, docs, None)
 
 
 def prewarm_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document's title is for its machine, compared with the one before."""
-    docs = documents(spark, sf_dir).filter("machine_id is not null")
+    docs = documents(spark, sf_dir, "machine_id", "created_at_epoch", "title").filter("machine_id is not null")
     rows = prewarm.classify(docs.select("machine_id", "created_at_epoch", "file_path", F.coalesce("title", F.lit("")).alias("title")), "machine_id", "created_at_epoch", "title")
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def title_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).filter("title is not null")
-    return docs.select("file_path", F.array_join(keywords(F.col("title"), STOP_WORDS), " ").alias("keywords"))
+    return documents(spark, sf_dir, F.array_join(keywords(F.col("title"), STOP_WORDS), " ").alias("keywords")).filter("keywords is not null")
 
 
 def newest_of_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five newest documents of each source."""
-    found = topk.top_k(documents(spark, sf_dir).select("source_type", "file_path", "created_at_epoch"), ["source_type"], [F.desc("created_at_epoch"), F.col("file_path")], 5)
+    found = topk.top_k(documents(spark, sf_dir, "source_type", "created_at_epoch"), ["source_type"], [F.desc("created_at_epoch"), F.col("file_path")], 5)
     return found.select("source_type", "file_path", "rank")
 
 
@@ -183,11 +185,11 @@ ranked as (select *, trunc(s)::bigint as score from scored where s > 0)"""
 _WORDS = r"list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 2)"
 
 
-def _bm25_sql(k: int, most: int = 8) -> str:
+def _bm25_sql(k: int) -> str:
     return rf"""tokens as (select doc_id, unnest({_WORDS.format('text')}) as term from documents where text is not null),
 index as (select doc_id, term, count(*) as tf from tokens group by all), lens as (select doc_id, count(*) as dl from tokens group by 1),
 freq as (select term, count(*) as df from index group by 1), tot as (select count(*) as n, avg(dl) as mean from lens),
-wanted as (select i.doc_id as query, i.term, df from index i join freq using (term) where i.doc_id % 100 = 0 qualify row_number() over (partition by i.doc_id order by df, term) <= {most}),
+wanted as (select i.doc_id as query, i.term, df from index i join freq using (term) where i.doc_id % 100 = 0),
 bm as (select query, i.doc_id as key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / mean))), 9) as score
   from wanted join index i using (term) join lens using (doc_id), tot group by all),
 bmk as (select *, row_number() over (partition by query order by score desc, key) as rank from bm where score > 0 qualify rank <= {k})"""

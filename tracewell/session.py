@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,9 +30,11 @@ def get_spark(app: str = "tracewell", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir. Only where that is unset is a local one made, as in tests."""
+    """The cluster's shared folder, from spark.checkpoint.dir. Where that is unset a local master gets a local one, as in tests; on a cluster, whose executors would not see it, that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -50,8 +53,6 @@ def pin(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a scan in as many partitions as there are cores, if the files alone give less than half as many. Large inputs, and rows that were shuffled before, stay as they are."""
+    """Rows of a scan in as many partitions as there are cores, if the files alone give less than half as many; large inputs stay as they are. For rows that come straight from files."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
-        return rows
     return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
