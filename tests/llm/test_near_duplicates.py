@@ -3,7 +3,10 @@
 import itertools
 import random
 
-from tracewell.llm.near_duplicates import similar_pairs
+import numpy as np
+import pytest
+
+from tracewell.llm.near_duplicates import _put, _take, level, similar_pairs
 from tracewell.llm.queries_sessions import _records, p2_found
 from tracewell.llm.words import words
 
@@ -53,6 +56,28 @@ def test_pairs_that_share_few_shingles(spark):
     assert got == sorted(plain(rows)) and ("t", "00", "01") in got and ("t", "02", "03") in got
 
 
+@pytest.mark.parametrize("bounds", [{"chunk": 500, "longest": 512}, {"chunk": 3000, "longest": 3}, {"chunk": 2_000_000, "longest": 7}])
+def test_bounds_change_nothing(spark, bounds):
+    """Many chunks, and lists that are split: all shingles are common here, so that short lists are long."""
+    rng = random.Random(9)
+    bases = [" ".join(rng.choice("log scan index".split()) for _ in range(rng.randrange(60, 90))) for _ in range(12)]
+    rows = [("t", f"{i}-{j}", edited(rng, b, j * 2) if j else b) for i, b in enumerate(bases) for j in range(12)]
+    got = sorted(map(tuple, similar_pairs(spark.createDataFrame(rows, "table_name string, key string, content string").repartition(3), **bounds).collect()))
+    assert got == sorted(plain(rows)) and len(got) > 100
+
+
+def test_levels():
+    n = np.array([1, 2, 127, 128, 200, 10**5, 10**9])
+    got = level(n)
+    assert got.tolist()[:4] == [1, 2, 127, 128] and (np.diff(got.astype(int)) >= 0).all() and got[-1] <= 255
+
+
+def test_packed_columns():
+    columns = [np.array([1, 5, 2**40], np.uint64), np.zeros(3, np.uint64), np.array([2**64 - 1, 0, 7], np.uint64)]
+    assert all((a == b).all() for a, b in zip(columns, _take(_put(*columns)), strict=True))
+    assert [len(x) for x in _take(_put(np.zeros(0, np.uint64)))] == [0]
+
+
 def test_empty_table(spark):
     assert similar_pairs(spark.createDataFrame([], "table_name string, key string, content string")).count() == 0
 

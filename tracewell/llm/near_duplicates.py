@@ -6,32 +6,42 @@ the short lists of both is a candidate, and its shingles are then probed in the
 that reach the overlap are found: a pair that shares T shingles shares at least K in the first n - T + K of each. Where
 T is less than K, as with records that repeat few shingles, all their lists are short and T occurrences are enough.
 
-Lists are told long from short by a sketch of all shingles' counts. It orders shingles alike for all records, which is
-all that exactness needs; a coarser sketch only costs time.
+Lists are told long from short by their lengths, counted for all shingles of all records: records go in chunks, a chunk
+asks each range of shingles for its lists' lengths, and the answers meet the chunk again. Nothing of this grows but the
+number of chunks and ranges. A short list that is long all the same, as its records have only such, is split into groups
+of records, and each pair of groups is merged by itself.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.session import new_path, pin, spread
+from tracewell.session import pin, spread
 
 SHINGLE, MIN_WORDS, SIMILARITY = 3, 40, 0.5
 #: Occurrences in short lists that make a candidate (K above).
 SHORT_HITS = 4
-#: The sketch has 2 ** SKETCH_BITS counters of a byte, sent in SLICES parts; a filter for records has 2 ** FILTER_BITS bits.
-SKETCH_BITS, SLICES, FILTER_BITS = 22, 32, 23
-#: Pairs and entries of which one task's arrays hold so many at a time.
+#: Bytes of text for which there is one range of shingle hashes, and the most ranges.
+RANGE_BYTES, MOST_RANGES = 20_000_000, 16_384
+#: Bits of a shingle's hash by which lists are told apart; verification uses 64.
+BITS = 48
+#: Records of a short list that are merged at once; a longer one is split.
+LIST = 512
+#: Postings of a chunk of records; pairs and entries that one task's arrays hold at a time.
 CHUNK = 2_000_000
 #: Characters that are taken at a time.
 CHARACTERS = 500_000
+#: A filter for classes has 2 ** FILTER_BITS bits.
+FILTER_BITS = 24
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _NONE, _ONE = np.zeros(1, np.uint64), np.ones(1, np.uint64)
@@ -139,19 +149,37 @@ def shingled(texts: list[str | None], shingler: tuple[int, int]) -> Iterator[tup
         at = to
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+def _put(*columns: np.ndarray) -> bytes:
+    """Columns of numbers as bytes: of each the lowest bytes of all numbers, then the next ones, as far as they are not all zero."""
+    out = []
+    for c in columns:
+        planes = np.ascontiguousarray(c.astype(np.uint64)).view(np.uint8).reshape(-1, 8)
+        used = max((i + 1 for i in range(8) if planes[:, i].any()), default=0)
+        out += [struct.pack("<IB", len(c), used), np.ascontiguousarray(planes[:, :used].T).tobytes()]
+    return b"".join(out)
 
 
-def _unpack(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
-    width = sum(np.dtype(k).itemsize for k in kinds)
-    parts: list[list[np.ndarray]] = [[] for _ in kinds]
-    for blob in blobs:
-        n, at = len(blob) // width, 0
-        for part, kind in zip(parts, kinds, strict=True):
-            part.append(np.frombuffer(blob, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-    return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds, strict=True)]
+def _take(blob: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(blob):
+        n, used = struct.unpack_from("<IB", blob, at)
+        planes = np.zeros((n, 8), np.uint8)
+        planes[:, :used] = np.frombuffer(blob, np.uint8, n * used, at + 5).reshape(used, n).T
+        out.append(planes.view(np.uint64).ravel())
+        at += 5 + n * used
+    return out
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=np.uint64(0))
+
+
+def _join(blobs: list[bytes], n: int) -> list[np.ndarray]:
+    """The columns of several blobs, each with ascending numbers first."""
+    parts = [_take(b) for b in blobs]
+    for p in parts:
+        p[0] = np.cumsum(p[0], dtype=np.uint64)
+    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in range(n)]
 
 
 def _batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
@@ -159,50 +187,98 @@ def _batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def _survey(records: DataFrame, shingler: tuple[int, int]) -> DataFrame:
-    """First pass over the texts: each record's class (of equal word sequences) and size; and each task's part of the sketch of all shingles."""
+_ROW = "to int, chunk bigint, part int, blob binary"
+_ROW_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+_ROW_NAMES = ["to", "chunk", "part", "blob"]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return _batch(_ROW_NAMES, _ROW_KINDS, rows)
+
+
+def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each hash of BITS bits; ranges ascend with the hashes."""
+    return ((h >> np.uint64(BITS - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def _home(chunk: int, ranges: int) -> int:
+    return (chunk * 2654435761 >> 7) % ranges
+
+
+def _ask(shingler: tuple[int, int], ranges: int, most: int):
+    """Chunks of records: to each range the chunk's distinct shingles with how many of its records have them (part is the range), and home what the chunk needs again (part -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["kind", "table_name", "key", "cls", "n", "slice", "counts"]
-        kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        salt = TaskContext.get().partitionId() % 64
+        held: dict[int, np.ndarray] = {}  # hashes of each class: equal records of a chunk are one
+        size, number, partition = 0, 0, TaskContext.get().partitionId()
+
+        def flush() -> pa.RecordBatch:
+            nonlocal number, size
+            chunk = (partition << 32) + number
+            sizes = np.array([len(x) for x in held.values()], np.uint64)
+            h = np.concatenate([*held.values(), np.zeros(0, np.uint64)]) >> np.uint64(64 - BITS)
+            own = np.repeat(np.arange(len(sizes)), sizes.astype(np.int64))
+            order = np.argsort(h, kind="stable")
+            h, own = h[order], own[order]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            first = np.flatnonzero(new)
+            distinct, times = h[first], np.diff(np.append(first, len(h)))
+            at = np.searchsorted(_range_of(distinct, ranges), np.arange(ranges + 1))
+            rows = [(p, chunk, p, _put(_steps(distinct[at[p] : at[p + 1]]), times[at[p] : at[p + 1]])) for p in np.flatnonzero(np.diff(at)).tolist()]
+            rows.append((_home(chunk, ranges), chunk, -1, _put(np.fromiter(held, np.int64, len(held)).view(np.uint64), sizes, own, new)))
+            held.clear()
+            number, size = number + 1, 0
+            return _rows(rows)
+
         for batch in batches:
-            tables, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = []
-            for at, found in shingled(batch.column(2).to_pylist(), shingler):
-                slots, n = np.unique((found.hashes & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), return_counts=True)
-                counts[slots] += n.astype(np.uint32)
-                sizes = np.diff(found.starts)
-                rows += [(0, tables[at + i], keys[at + i], c, n, None, None) for i, c, n in zip(found.kept.tolist(), found.cls.tolist(), sizes.tolist(), strict=True)]
-            yield _batch(names, kinds, rows)
-        parts = np.split(np.minimum(counts, 255).astype(np.uint8), SLICES)
-        yield _batch(names, kinds, [(1, None, None, None, salt, i, p.tobytes()) for i, p in enumerate(parts) if p.any()])
+            for _, found in shingled(batch.column(0).to_pylist(), shingler):
+                for i, cls in enumerate(found.cls.tolist()):
+                    if cls not in held:
+                        held[cls] = found.hashes[found.starts[i] : found.starts[i + 1]]
+                        size += len(held[cls])
+                if size >= most:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return run
 
-    schema = "kind int, table_name string, key string, cls bigint, n int, slice int, counts binary"
-    path = new_path(records.sparkSession, "near-survey")
-    records.mapInArrow(run, schema).write.partitionBy("kind").parquet(path)
-    return records.sparkSession.read.schema(schema).option("basePath", path).parquet(path)
 
+def level(counts: np.ndarray) -> np.ndarray:
+    """Lengths of lists on a scale of 255: exact up to 127, beyond in eighths of a power of two."""
+    return np.where(counts < 128, counts, np.minimum(255, 128 + np.floor(8 * np.log2(np.maximum(counts, 128) / 128)))).astype(np.uint64)
 
-def _add(t: pa.Table) -> pa.Table:
-    total = np.zeros((1 << SKETCH_BITS) // SLICES, np.uint32)
-    for part in t.column("counts").to_pylist():
-        total += np.frombuffer(part, np.uint8)
-    total = np.minimum(total, 255).astype(np.uint8)
-    return pa.table({"slice": t.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
+def _groups(levels: np.ndarray, most: int) -> np.ndarray:
+    """Into how many groups of records a list of each level is split."""
+    longest = np.where(levels < 128, levels, 128 * 2 ** ((levels.astype(np.float64) - 127) / 8))
+    return np.maximum(1, np.ceil(longest / most)).astype(np.int64)
 
-def _sketch(survey: DataFrame) -> np.ndarray:
-    """The sum of the tasks' parts, each counter up to 255; a shingle's count is at most its counter, if that is under 255. Its size is fixed."""
-    parts = survey.filter("kind = 1").select("slice", "n", "counts")
-    for keys in (["slice", "n"], ["slice"]):
-        parts = parts.groupBy(*keys).applyInArrow(_add, "slice int, counts binary")
-        parts = parts.select("slice", "counts")
-    counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
-    for i, part in parts.collect():
-        counts[i] = np.frombuffer(part, np.uint8)
-    return counts.ravel()
+
+def _answer(ranges: int):
+    """A range of shingles: the lengths of their lists over all chunks, back to each chunk that asked; with the shingles that it has in common with another record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            home = batch.filter(pa.compute.less(batch.column(2), 0))
+            if home.num_rows:
+                yield home
+            for _, chunk, part, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part >= 0:
+                    asked.setdefault(part, []).append((chunk, blob))
+        for part, rows in asked.items():
+            h, times = _join([b for _, b in rows], 2)
+            order = np.argsort(h, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(h[order]) > 0])
+            distinct, levels = h[order][first], level(np.add.reduceat(times[order].astype(np.int64), first))
+            for chunk, blob in rows:
+                own = np.cumsum(_take(blob)[0], dtype=np.uint64)
+                found = levels[np.searchsorted(distinct, own)]
+                yield _rows([(_home(chunk, ranges), chunk, part, _put(_steps(own[found > 1]), found))])
+
+    return run
 
 
 def _share(similarity: float) -> float:
@@ -214,92 +290,104 @@ def overlap(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     return np.ceil(_share(similarity) * (a.astype(np.int64) + b) - 1e-9).astype(np.int64)
 
 
-def _entries(records: DataFrame, sketch: np.ndarray, shingler: tuple[int, int], similarity: float, parts: int) -> DataFrame:
-    """Second pass: each record's entries in short lists, packed by range of shingle hashes: (part, blob of shingle, class, size, place)."""
-    shared = records.sparkSession.sparkContext.broadcast(sketch)
+def _short(similarity: float, ranges: int, most: int):
+    """A chunk at home: its records' entries in short lists, packed by range: (to, -, -, blob of list, class, size, place, side). Rows come by chunk, its own first."""
+
+    def entries(cls: np.ndarray, sizes: np.ndarray, own: np.ndarray, new: np.ndarray, answers: list[bytes]) -> pa.RecordBatch:
+        parts = [_take(b) for b in answers]
+        levels = np.concatenate([p[1] for p in parts])
+        hashes = np.zeros(len(levels), np.uint64)
+        hashes[levels > 1] = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+        which = np.cumsum(new.astype(np.int64)) - 1
+        own, sizes = own.astype(np.int64), sizes.astype(np.int64)
+        long = levels[which]
+        alone = np.bincount(own[long == 1], minlength=len(cls))  # lists without another record come first
+        keep = np.flatnonzero(long > 1)
+        keep = keep[np.argsort(own[keep] * 256 + long[keep].astype(np.int64), kind="stable")]
+        o, h, lev = own[keep], hashes[which[keep]], long[keep]
+        place = alone[o] + np.arange(len(o)) - np.searchsorted(o, o)
+        # the shortest record similar enough to one of n shingles has similarity * n of them
+        short = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + SHORT_HITS
+        good = place < short[o]
+        o, h, lev, place = o[good], h[good], lev[good], place[good]
+        groups = _groups(lev, most)
+        mine = (_mixed(cls[o] ^ h) % groups.astype(np.uint64)).astype(np.int64)
+        # each pair of groups of a split list is a list of its own: side 1 meets side 2, or all meet where both are one group
+        other = np.arange(int(groups.sum())) - np.repeat(np.cumsum(groups) - groups, groups)
+        o, h, place, mine, split = (np.repeat(x, groups) for x in (o, h, place, mine, groups))
+        side = np.where(other == mine, 0, np.where(mine < other, 1, 2))
+        cell = (np.minimum(mine, other) * split + np.maximum(mine, other)).astype(np.uint64)
+        h = np.where(split > 1, _mixed(h + cell * _MIX[0]) >> np.uint64(64 - BITS), h)
+        order = np.argsort(h, kind="stable")
+        o, h, place, side = o[order], h[order], place[order], side[order]
+        at = np.searchsorted(_range_of(h, ranges), np.arange(ranges + 1))
+        rows = []
+        for p in np.flatnonzero(np.diff(at)).tolist():
+            x = slice(at[p], at[p + 1])
+            rows.append((p, 0, 0, _put(_steps(h[x]), cls[o[x]], sizes[o[x]], place[x], side[x])))
+        return _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, mask = shared.value, np.uint64((1 << SKETCH_BITS) - 1)
-        held: list[tuple] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            s, cls, n, place = (np.concatenate(x) for x in zip(*held, strict=True)) if held else [np.zeros(0, k) for k in ("u8", "i8", "u4", "u4")]
-            part = ((s >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            at = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = []
-            for p in range(parts):
-                o = order[at[p] : at[p + 1]]
-                if len(o):
-                    rows.append((p, _pack(s[o], cls[o], n[o], place[o])))
-            held.clear()
-            return _batch(["part", "blob"], [pa.int32(), pa.binary()], rows)
-
+        chunk, mine, answers = None, None, []
         for batch in batches:
-            for _, found in shingled(batch.column(2).to_pylist(), shingler):
-                sizes = np.diff(found.starts)
-                own = np.repeat(np.arange(len(sizes)), sizes)
-                count = counts[(found.hashes & mask).astype(np.int64)]
-                order = np.lexsort((found.hashes, count, own))
-                place = np.arange(len(own)) - found.starts[own]
-                # the shortest record similar enough to one of n shingles has similarity * n of them
-                short = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + SHORT_HITS
-                # a counter of 1 proves that no other record has the shingle
-                keep = (place < short[own]) & (count[order] > 1)
-                held.append((found.hashes[order][keep], found.cls[own][keep], sizes[own][keep].astype(np.uint32), place[keep].astype(np.uint32)))
-                size += int(keep.sum())
-                if size >= CHUNK:
-                    yield flush()
-                    size = 0
-        yield flush()
+            for _, c, part, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if c != chunk:
+                    if answers:
+                        yield entries(*mine, answers)
+                    chunk, mine, answers = c, None, []
+                if part < 0:
+                    mine = _take(blob)
+                else:
+                    answers.append(blob)
+        if answers:
+            yield entries(*mine, answers)
 
-    return records.mapInArrow(run, "part int, blob binary")
+    return run
 
 
-def _merge(similarity: float, parts: int):
-    """Merges the short lists of a range of shingles: the pairs of classes that occur together, with how often."""
+def _merge(similarity: float, ranges: int):
+    """Merges the short lists of a range: the pairs of classes that occur together, with how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
-        s, cls, n, place = _unpack(blobs, "u8", "i8", "u4", "u4")
-        order = np.lexsort((cls, s))
-        s, cls, n, place = s[order], cls[order], n[order].astype(np.int64), place[order].astype(np.int64)
-        first = np.ones(len(s), bool)  # classes that stand in a list more than once: equal records
-        first[1:] = (s[1:] != s[:-1]) | (cls[1:] != cls[:-1])
-        s, cls, n, place = s[first], cls[first], n[first], place[first]
-        ends = np.searchsorted(s, s, side="right")
-        follow = ends - np.arange(len(s)) - 1  # entries after this one in its list
-        held: list[np.ndarray] = []
+        h, cls, n, place, side = _join([b for batch in batches for b in batch.column(3).to_pylist()], 5)
+        cls = cls.view(np.int64)
+        order = np.lexsort((cls, h))
+        h, cls, n, place, side = h[order], cls[order], n[order].astype(np.int64), place[order].astype(np.int64), side[order]
+        first = np.ones(len(h), bool)  # classes that stand in a list more than once: equal records of several chunks
+        first[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])
+        h, cls, n, place, side = h[first], cls[first], n[first], place[first], side[first]
+        follow = np.searchsorted(h, h, side="right") - np.arange(len(h)) - 1  # entries after this one in its list
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def counted() -> pa.RecordBatch:
-            pairs = np.concatenate(held) if held else np.zeros((0, 2), np.int64)
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 2
             held.clear()
-            kinds = pairs.view([("a", "i8"), ("b", "i8")]).ravel() if len(pairs) else np.zeros(0, [("a", "i8"), ("b", "i8")])
-            unique, hits = np.unique(kinds, return_counts=True)
-            to = ((unique["a"] ^ unique["b"] * 31) % parts).astype(np.int64)
+            a, b, hits = _added(a, b, np.ones(len(a), np.int64))
+            to = (_mixed((a ^ (b * 31)).view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            at = np.searchsorted(to[order], np.arange(ranges + 1))
             rows = []
-            for p in range(parts):
-                o = np.flatnonzero(to == p)
-                if len(o):
-                    rows.append((p, _pack(unique["a"][o], unique["b"][o], np.minimum(hits[o], 65535).astype(np.uint16))))
-            return _batch(["part", "blob"], [pa.int32(), pa.binary()], rows)
+            for p in np.flatnonzero(np.diff(at)).tolist():
+                o = order[at[p] : at[p + 1]]
+                rows.append((p, 0, 0, _put(_steps(a[o].view(np.uint64)), b[o].view(np.uint64), hits[o])))
+            return _rows(rows)
 
-        step = max(1, CHUNK // 8)
+        live, step = np.arange(len(h)), max(1, CHUNK // 8)
         for k in range(1, int(follow.max()) + 1 if len(follow) else 1):
-            live = np.flatnonzero(follow >= k)
+            live = live[follow[live] >= k]
             for at in range(0, len(live), step):
                 x = live[at : at + step]
                 y = x + k
                 need = overlap(n[x], n[y], similarity)
                 # both must be among the lists that are short for a record of this size with one of that size
                 good = (place[x] < n[x] - need + SHORT_HITS) & (place[y] < n[y] - need + SHORT_HITS) & (np.minimum(n[x], n[y]) >= need)
+                good &= (side[x] == 0) | (side[x] != side[y])
                 x, y = x[good], y[good]
                 if len(x):
                     # occurrences weigh more where fewer than SHORT_HITS are needed, so that as many reach it
                     x, y = (np.repeat(e, -(-SHORT_HITS // np.clip(need[good], 1, SHORT_HITS))) for e in (x, y))
-                    held.append(np.stack([cls[x], cls[y]], 1))  # within a list classes ascend
+                    held.append((cls[x], cls[y]))  # within a list classes ascend
                     size += len(x)
                     if size >= CHUNK:
                         yield counted()
@@ -309,81 +397,60 @@ def _merge(similarity: float, parts: int):
     return run
 
 
+def _added(a: np.ndarray, b: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs with the sums of their hits, sorted by bytes of a as unsigned numbers."""
+    order = np.lexsort((b, a.view(np.uint64)))
+    a, b, hits = a[order], b[order], hits[order]
+    start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+    return a[start], b[start], np.add.reduceat(hits, start) if len(a) else hits
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds up how often pairs of classes occurred together, and keeps those that did so often enough."""
-    blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
-    a, b, hits = _unpack(blobs, "i8", "i8", "u2")
-    order = np.lexsort((b, a))
-    a, b, hits = a[order], b[order], hits[order].astype(np.int64)
-    start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-    total = np.add.reduceat(hits, start) if len(a) else hits
-    keep = start[total >= SHORT_HITS]
+    a, b, hits = _join([x for batch in batches for x in batch.column(3).to_pylist()], 3)
+    a, b, total = _added(a.view(np.int64), b.view(np.int64), hits.astype(np.int64))
+    keep = total >= SHORT_HITS
     yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
 
 
-def _bits(ids: np.ndarray) -> np.ndarray:
-    return ((ids.astype(np.uint64) * _MIX[0]) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
+def _class_bits(classes: DataFrame) -> np.ndarray:
+    """A bit for each class, of fixed size: records without their bit can be left out before a join."""
+    slots = classes.select(F.expr(f"cls & {(1 << FILTER_BITS) - 1}L").alias("slot")).select(F.expr("shiftright(slot, 6)").alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
+    words = slots.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
 
-def _filter_bits(ids: DataFrame) -> np.ndarray:
-    """A bit for each id's hash, of fixed size: rows without their bit can be left out before a join."""
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            bits[_bits(batch.column(0).to_numpy(zero_copy_only=False))] = True
-        salt = TaskContext.get().partitionId() % 64
-        yield _batch(["salt", "bits"], [pa.int32(), pa.binary()], [(salt, np.packbits(bits).tobytes())])
-
-    def unite(t: pa.Table) -> pa.Table:
-        bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-        for b in t.column("bits").to_pylist():
-            bits |= np.frombuffer(b, np.uint8)
-        return pa.table({"salt": pa.array([0], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    found = ids.mapInArrow(part, "salt int, bits binary")
-    for _ in range(2):
-        found = found.groupBy("salt").applyInArrow(unite, "salt int, bits binary")
-    rows = found.collect()
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for r in rows:
-        bits |= np.frombuffer(r["bits"], np.uint8)
-    return np.unpackbits(bits).astype(bool)
-
-
-def _texts(records: DataFrame, members: DataFrame, needed: DataFrame) -> DataFrame:
-    """One text for each needed class (cls, content). Only records whose key has its bit in a filter leave their task."""
-    keys = members.join(needed, "cls").groupBy("cls").agg(F.min(F.struct("table_name", "key")).alias("r")).select("cls", "r.table_name", "r.key")
-    keys = pin(keys.withColumn("h", F.xxhash64("table_name", "key")), "near-keys")
-    bits = records.sparkSession.sparkContext.broadcast(np.packbits(_filter_bits(keys.select("h"))))
+def _members(records: DataFrame, needed: DataFrame, shingler: tuple[int, int]) -> DataFrame:
+    """Each record's class (table_name, key, cls), with its shingles where the class may be needed."""
+    bits = records.sparkSession.sparkContext.broadcast(_class_bits(needed))
+    names, kinds = ["table_name", "key", "cls", "shingles"], [pa.string(), pa.string(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.unpackbits(bits.value).astype(bool)
+        words = bits.value
         for batch in batches:
-            yield batch.filter(pa.array(there[_bits(batch.column(3).to_numpy(zero_copy_only=False))]))
+            tables, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = []
+            for at, found in shingled(batch.column(2).to_pylist(), shingler):
+                slot = found.cls & ((1 << FILTER_BITS) - 1)
+                wanted = (words[slot >> 6] >> (slot & 63)) & 1
+                for i, (place, cls, there) in enumerate(zip(found.kept.tolist(), found.cls.tolist(), wanted.tolist(), strict=True)):
+                    own = found.hashes[found.starts[i] : found.starts[i + 1]].tobytes() if there else None
+                    rows.append((tables[at + place], keys[at + place], cls, own))
+            yield _batch(names, kinds, rows)
 
-    rows = records.withColumn("h", F.xxhash64("table_name", "key"))
-    rows = rows.mapInArrow(run, rows.schema)
-    return rows.join(keys, ["table_name", "key", "h"]).select("cls", "content").dropDuplicates(["cls"])
+    return records.mapInArrow(run, "table_name string, key string, cls bigint, shingles binary")
 
 
-def _verify(shingler: tuple[int, int], similarity: float):
-    """Keeps the pairs whose texts are similar enough, by probing the one's shingles in the other's by binary search."""
+def _verify(similarity: float):
+    """Keeps the pairs that are similar enough, by probing the one's shingles in the other's by binary search."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[int, np.ndarray] = {}
-
-        def of(cls: int, text: str) -> np.ndarray:
-            if cls not in last:
-                if len(last) > 5000:
-                    last.clear()
-                last[cls] = Shingles([text], *shingler).hashes
-            return last[cls]
-
         for batch in batches:
             rows = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s, t = of(a, x), of(b, y)
+                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 at = np.minimum(np.searchsorted(t, s), max(0, len(t) - 1))
                 common = int((t[at] == s).sum()) if len(t) else 0
                 union = len(s) + len(t) - common
@@ -395,37 +462,42 @@ def _verify(shingler: tuple[int, int], similarity: float):
 
 
 def similar_classes(
-    records: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, min_words: int = MIN_WORDS
+    records: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, min_words: int = MIN_WORDS, chunk: int = CHUNK, longest: int = LIST
 ) -> tuple[DataFrame, DataFrame]:
-    """Members (table_name, key, cls, n) and links (a, b, similarity; a < b) between classes of equal word sequences.
+    """Members (table_name, key, cls) and links (a, b, similarity; a < b) between classes of equal word sequences.
 
     records: (table_name, key, content). Links lose no pair of classes whose similarity (common shingles by all shingles)
     reaches the threshold. Classes are hashes of the word sequence; repeated rows and copies are one class, so that a
     text with many copies is searched for once. Records with a null key or content, or fewer than min_words words, are
-    in no class.
+    in no class. chunk and longest (postings of a chunk, records of a list that are merged at once) bound what a task holds;
+    results don't depend on them.
     """
     spark, shingler = records.sparkSession, (width, min_words)
     records = spread(records.select("table_name", "key", "content").filter(F.col("key").isNotNull() & F.col("content").isNotNull()))
-    survey = _survey(records, shingler)
-    members = survey.filter("kind = 0").select("table_name", "key", "cls", "n").distinct()
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    entries = _entries(records, _sketch(survey), shingler, similarity, parts)
+    size = records.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    ranges = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES))
     # a partition for each range of hashes: none holds two by chance
-    hits = entries.repartitionById(parts, "part").mapInArrow(_merge(similarity, parts), "part int, blob binary")
-    links = pin(hits.repartitionById(parts, "part").mapInArrow(_count, "a bigint, b bigint"), "near-candidates")
+    asked = records.select("content").mapInArrow(_ask(shingler, ranges, chunk), _ROW).repartitionById(ranges, "to")
+    answers = asked.mapInArrow(_answer(ranges), _ROW).repartitionById(ranges, "to").sortWithinPartitions("chunk", "part")
+    lists = answers.mapInArrow(_short(similarity, ranges, longest), _ROW).repartitionById(ranges, "to")
+    hits = lists.mapInArrow(_merge(similarity, ranges), _ROW).repartitionById(ranges, "to")
+    links = pin(hits.mapInArrow(_count, "a bigint, b bigint"), "near-candidates")
     needed = links.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    texts = pin(_texts(records, members, needed), "near-texts")
-    pairs = links.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return members, pairs.mapInArrow(_verify(shingler, similarity), "a bigint, b bigint, similarity double")
+    members = pin(_members(records, needed, shingler), "near-members")
+    shingles = members.filter("shingles is not null").select("cls", "shingles").join(needed, "cls", "left_semi").dropDuplicates(["cls"])
+    shingles = pin(shingles, "near-shingles")
+    pairs = links.join(shingles.toDF("a", "x"), "a").join(shingles.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    links = pairs.mapInArrow(_verify(similarity), "a bigint, b bigint, similarity double")
+    return members.select("table_name", "key", "cls").distinct(), links
 
 
-def similar_pairs(records: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
+def similar_pairs(records: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, min_words: int = MIN_WORDS, **bounds: int) -> DataFrame:
     """All pairs of records of one table that are similar enough: table_name, key_a, key_b (key_a < key_b), equal texts included.
 
     See similar_classes() for what is compared. Pairs are as many as the data hold: copies are expanded here only.
     """
-    members, links = similar_classes(records, similarity, width, min_words)
-    members = pin(members.select("table_name", "key", "cls"), "near-members")
+    members, links = similar_classes(records, similarity, width, min_words, **bounds)
+    members = pin(members, "near-members")
     left, right = members.toDF("table_name", "key_a", "a"), members.toDF("table_name", "key_b", "b")
     far = left.join(links.select("a", "b"), "a").join(right, ["table_name", "b"]).select("table_name", "key_a", "key_b")
     equal = left.join(right.withColumnRenamed("b", "a"), ["table_name", "a"]).filter("key_a < key_b").select("table_name", "key_a", "key_b")
