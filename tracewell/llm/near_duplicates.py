@@ -36,8 +36,8 @@ RANGE_BYTES, MOST_RANGES = 20_000_000, 16_384
 BITS = 48
 #: Records of a short list that are merged at once; a longer one is split.
 LIST = 512
-#: Postings of a chunk of records; pairs and entries that one task's arrays hold at a time.
-CHUNK = 2_000_000
+#: Postings of a chunk of records; pairs that one task's arrays hold at a time.
+CHUNK = 1_000_000
 #: Characters that are taken at a time.
 CHARACTERS = 500_000
 #: A filter for classes has 2 ** FILTER_BITS bits.
@@ -202,7 +202,8 @@ def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _home(chunk: int, ranges: int) -> int:
-    return (chunk * 2654435761 >> 7) % ranges
+    """Where a chunk's answers meet: chunks of one task and those of one number go round the ranges."""
+    return ((chunk >> 32) + (chunk & 0xFFFFFFFF) * 7) % ranges
 
 
 def _ask(shingler: tuple[int, int], ranges: int, most: int):
@@ -373,7 +374,7 @@ def _merge(similarity: float, ranges: int):
                 rows.append((p, 0, 0, _put(_steps(a[o].view(np.uint64)), b[o].view(np.uint64), hits[o])))
             return _rows(rows)
 
-        live, step = np.arange(len(h)), max(1, CHUNK // 8)
+        live, step = np.arange(len(h)), max(1, CHUNK // 4)
         for k in range(1, int(follow.max()) + 1 if len(follow) else 1):
             live = live[follow[live] >= k]
             for at in range(0, len(live), step):
@@ -389,7 +390,7 @@ def _merge(similarity: float, ranges: int):
                     x, y = (np.repeat(e, -(-SHORT_HITS // np.clip(need[good], 1, SHORT_HITS))) for e in (x, y))
                     held.append((cls[x], cls[y]))  # within a list classes ascend
                     size += len(x)
-                    if size >= CHUNK:
+                    if size >= 2 * CHUNK:
                         yield counted()
                         size = 0
         yield counted()
