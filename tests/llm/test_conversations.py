@@ -1,10 +1,13 @@
 """Conversations from a stream against a plain reconstruction."""
 
 import json
+import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from tracewell.llm.conversations import PARTS, read_message, read_object, rebuild
+from tracewell.llm.conversations import PARTS, collect_spans, read_message, read_object, rebuild, validated
 from tracewell.llm.queries_sessions import p5_found
 
 T0 = 1_700_000_000_000
@@ -73,6 +76,31 @@ def test_cases(spark, tmp_path):
     assert {r.session_id for r in got.collect()} == {"ok", "long", "tie", "far"}
 
 
+def test_late_rows_open_their_span_again(spark, tmp_path):
+    """One file a batch, in an order in which rows come years late: the same conversations as in one batch, and late rows are counted."""
+    day = 86_400_000
+    batches = [
+        [("a", "1", text("user"), T0), ("b", "1", text("user"), T0 + 900 * day), ("b", "2", text("ai"), T0 + 901 * day)],
+        [("c", "1", text("user"), T0 + 902 * day)],  # a's span closes
+        [("a", "2", text("ai"), T0 + 1000), ("a", "2", text("ai"), T0 + 1000), ("a", "0", text("system"), T0 - 5), ("c", "2", text("ai"), T0 + 1), ("d", "1", text("user"), T0 + 990 * day)],
+        [("a", "2", text("ai"), T0 + 1000)],  # and stays closed
+        [("b", "0", "{", None), ("d", "2", text("ai"), T0 + 991 * day), ("e", "1", text("user"), T0), ("e", "2", text("ai"), T0 + 1)],
+    ]
+    for n, rows in enumerate(batches):
+        path = tmp_path / "p.parquet" / f"{n}.parquet"
+        path.parent.mkdir(exist_ok=True)
+        kind = pa.schema([("session_id", pa.string()), ("id", pa.string()), ("data", pa.string()), ("time_created", pa.int64())])
+        pq.write_table(pa.table(list(zip(*rows, strict=True)), schema=kind), path)
+        os.utime(path, (1_700_000_000 + n,) * 2)
+    source = str(tmp_path / "p.parquet")
+    got = [tuple(r) for r in rebuild(spark, source, with_text=False, batch_files=1).select("session_id", "seq", "part_id", "role").collect()]
+    assert sorted(got) == plain([r for b in batches for r in b])
+    assert sorted(got) == sorted(tuple(r) for r in rebuild(spark, source, with_text=False).select("session_id", "seq", "part_id", "role").collect())
+    spans = collect_spans(spark, source, with_text=False, batch_files=1)
+    late = {r.session_id: (r.kept, r.late) for r in validated(spark, spans, batch_files=1).collect()}
+    assert late == {"a": (True, 2), "b": (False, 0), "c": (False, 0), "d": (True, 0), "e": (True, 0)}
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], PARTS).write.parquet(str(tmp_path / "p.parquet"))
     assert rebuild(spark, str(tmp_path / "p.parquet")).count() == 0
