@@ -134,3 +134,32 @@ def test_scan_takes_the_best_match_and_skips_tools(spark):
     got = scan(rows, "Needle", active_dir="/active").collect()
     assert [(r.path, r.session_id, r.lines, r.first_timestamp, r.match_field, r.snippet, r.match_score) for r in got] == [("f", "S", 4, "t1", "message.content.text", "best needle", 145)]
     assert scan(rows.limit(0), "needle").count() == 0
+
+
+def test_messages_under_other_keys(spark, tmp_path):
+    """History of one editor, message metadata of another, quoted texts and descriptions."""
+    record = {"sessionId": "k1", "title": "T", "workspaceDirectory": "/w", "history": [{"message": {"role": "user", "content": "asked"}}, {"message": {"content": [{"type": "text", "text": "told"}]}}]}
+    assert transcripts.read_continue(record) == ("k1", "T", ["T", "/w", "asked", "told"])
+    assert transcripts.read_zed({"id": "z", "summary": "S", "message_metadata": {"1": {"text": "one"}, "2": {"body": "two"}}}) == ("z", "S", ["S", "one", "two"])
+    assert transcripts.read_zed({"messages": [{"text": "m"}, "no record"]}) == (None, None, ["m"])
+    assert list(transcripts.fragments({"textDescription": '"in quotes"', "data": {"description": " d "}})) == ["in quotes", "d"]
+    assert transcripts.read_continue([1]) == (None, None, []) and transcripts.read_messages({"a": 1}) == (None, None, [])
+    files = spark.createDataFrame([("/t/7/api_conversation_history.json", '[{"role": "user", "content": "do it"}]', 1, 2)], "path string, text string, mtime bigint, size bigint")
+    meta = spark.createDataFrame([("/t/7/task_metadata.json", '{"task": " The task "}')], "path string, text string")
+    doc = transcripts.json_files(files, "cline_session", transcripts.task_titles(files, meta)).first()
+    assert (doc.session_id, doc.title, doc.content) == ("7", "The task", "do it")
+
+
+def test_messages_stand_in_for_missing_parts(spark):
+    schema = "session_id string, id string, data string, time_created bigint"
+    parts = spark.createDataFrame([("a", "1", '{"text": "part"}', 1), ("b", "1", "{}", 1)], schema)
+    messages = spark.createDataFrame([("a", "9", '{"text": "no"}', 1), ("b", "9", '{"text": "message"}', 1)], schema)
+    none = spark.createDataFrame([], "id string, title string, directory string, time_created bigint, time_updated bigint")
+    docs = tables.session_documents(none, parts, "x", True, messages, None)
+    assert {r.session_id: r.content for r in docs.collect()} == {"a": "part", "b": "message"}
+
+
+def test_whole_texts_without_a_cap(spark):
+    rows = spark.createDataFrame([("p", i, "w" * 9_999) for i in range(9)], "path string, at int, text string")
+    assert lines.join_pieces(rows, cap=None).first().content == "\n".join(["w" * 9_999] * 9)
+    assert len(lines.join_pieces(rows).first().content) == 24_000

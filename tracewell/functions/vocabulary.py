@@ -7,6 +7,13 @@ STOP_WORDS = [
 ]
 CJK_STOP_WORDS = ["继续", "搜索", "终端", "方案", "项目", "历史", "会话", "相关", "那个", "这个"]
 
+# Characters that lead a CJK run without meaning anything by themselves.
+CJK_LEADING = "的了将把从向在对与和及并或再先后"
+
+# Marks of a passage that concludes, and headings that stand for a text without a hit.
+CONCLUSIONS = ["最终", "结论", "交付", "已完成", "核心"]
+HEADINGS = ["最终交付", "变更概览", "核心变化", "改动文件", "建议验证", "结论", "Summary"]
+
 # What a match in a source is worth; others weigh 1.
 SOURCE_WEIGHTS = {
     "codex_session": 40, "claude_session": 40,
@@ -27,7 +34,7 @@ SCAN_NOISE = ["### available skills", "diff --git", "@@", "```bash", "```python"
 SCAN_NOISE_PREFIXES = ["##", "```", "> ", "- [", "* ", "http"]
 
 # Marks of secrets: a text without any of them is passed over; then the patterns and what stays of a match.
-SECRET_MARKS = ["sk-", "ghp_", "github_pat_", "akia", "asia", "xoxb-", "xoxp-", "eyj", "glpat-", "npm_", "hf_", "aiza", "-----begin", "bearer", "api_key", "api-key", "apikey", "token", "password", "secret"]
+SECRET_MARKS = ["sk-", "ghp_", "github_pat_", "akia", "asia", "xoxb-", "xoxp-", "xoxa-", "xapp-", "ya29.", "eyj", "glpat-", "npm_", "hf_", "aiza", "-----begin", "bearer", "authorization", "api_key", "api-key", "apikey", "token", "password", "secret"]
 SECRETS = [
     (r"sk-[A-Za-z0-9_-]{16,}", "sk-***"),
     (r"gh[pousr]_[A-Za-z0-9]{20,}", "ghp_***"),
@@ -37,6 +44,12 @@ SECRETS = [
     (r"glpat-[A-Za-z0-9_-]{16,}", "glpat-***"),
     (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}", "***"),
     (r"AIza[0-9A-Za-z_-]{30,}", "***"),
+    (r"xapp-[A-Za-z0-9-]{10,}", "xapp-***"),
+    (r"npm_[A-Za-z0-9]{20,}", "npm_***"),
+    (r"hf_[A-Za-z0-9]{16,}", "hf_***"),
+    (r"ya29\.[A-Za-z0-9_-]{16,}", "ya29.***"),
+    (r"(?i)-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "-----PRIVATE KEY-----"),
+    (r"(?i)(authorization\"?\s*[:=]\s*\"?(?:basic|token|digest) )[A-Za-z0-9._~+/=-]{8,}", "$1***"),
     (r"(?i)(bearer )[A-Za-z0-9._~+/-]{16,}=*", "$1***"),
     (r"""(?i)((?:api[_-]?key|token|password|secret)"?\s*[=:]\s*"?)[^\s"',;]{8,}""", "$1***"),
 ]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -155,15 +157,29 @@ def _bm25_block(index: DataFrame, block: pa.Table, n: int, mean: float, kinds: t
 def match_all(docs: DataFrame, query: str, key: str, fields: dict[str, float], prefix: bool = False, k: int = 10) -> DataFrame:
     """Documents that hold all words of one query, best first: key, score. fields: weight of each column; a word of the query may be a prefix.
 
-    Frequencies are weighted by field before they saturate; document frequencies count over all documents. A query
-    without words is an error; documents without words never match.
+    A token of several words, as `foo-bar`, is a phrase: its words must follow each other. Frequencies are weighted by
+    field before they saturate; document frequencies count over all documents. A query without words is an error;
+    documents without words never match.
     """
-    tokens = list(dict.fromkeys(t for t in query.lower().replace('"', " ").split() if t))
+    spoken = [tuple(re.findall(r"\w{2,}", t)) for t in query.lower().replace('"', " ").split()]
+    tokens = list(dict.fromkeys(t for t in spoken if t))
     split = docs.select(F.col(key).alias("key"), *[words(F.col(f)).alias(f"_{i}") for i, f in enumerate(fields)])
 
-    def weight(t: str) -> Column:
-        hits = [w * F.size(F.filter(f"_{i}", lambda x: x.startswith(t) if prefix else x == F.lit(t))) for i, w in enumerate(fields.values())]
-        return sum(hits[1:], hits[0])
+    def begins(word: Column, t: str, last: bool) -> Column:
+        return word.startswith(t) if prefix and last else word == F.lit(t)
+
+    def weight(phrase: tuple[str, ...]) -> Column:
+        def at(field: str, i: Column) -> Column:
+            tests = [begins(F.get(field, i + n), t, n == len(phrase) - 1) for n, t in enumerate(phrase)]
+            return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
+
+        def hits(field: str) -> Column:
+            if len(phrase) == 1:
+                return F.size(F.filter(field, lambda x: begins(x, phrase[0], True)))
+            return F.size(F.filter(F.transform(field, lambda x, i: at(field, i)), lambda x: x))
+
+        found = [w * hits(f"_{i}") for i, w in enumerate(fields.values())]
+        return sum(found[1:], found[0])
 
     sizes = [F.size(f"_{i}") for i in range(len(fields))]
     # a query has few words: their frequencies are columns of one pass, and nothing is shuffled but the totals and the result

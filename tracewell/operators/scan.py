@@ -11,8 +11,9 @@ from tracewell.functions.text import clip_snippet, contains_any, occurrences
 from tracewell.functions.variant import string_at as _string
 from tracewell.functions.vocabulary import FIELD_WEIGHTS, SCAN_NOISE, SCAN_NOISE_PREFIXES
 
-ROOT = ["display", "text", "prompt", "content", "user_instructions", "last_agent_message"]
-PAYLOAD = ["message", "display", "text", "prompt", "user_instructions", "last_agent_message"]
+# Keys of texts in a record and in its payload.
+ROOT = ["display", "text", "prompt", "content", "user_instructions", "last_agent_message", "output"]
+PAYLOAD = ["message", "display", "text", "prompt", "user_instructions", "last_agent_message", "output"]
 
 
 def skipped(v: Column) -> Column:
@@ -43,11 +44,14 @@ def texts(v: Column) -> Column:
 
 
 def noise_line(text: Column, marks: Sequence[str] = SCAN_NOISE, prefixes: Sequence[str] = SCAN_NOISE_PREFIXES) -> Column:
+    """Whether a text is no content: blank, with a mark, a list of short tokens (5 at least), or a listing of files."""
     low = F.lower(F.trim(text))
+    lines = F.transform(F.split(low, "\n"), lambda x: F.trim(x))
+    tokens = F.filter(lines, lambda x: (x != "") & (F.octet_length(x) <= 40) & ~F.contains(x, F.lit(" ")) & (occurrences(x, "/") < 2) & (occurrences(x, "-") <= 3))
     begins = F.lit(False)
     for p in prefixes:
         begins = begins | low.startswith(p.strip())
-    return begins | contains_any(low, marks)
+    return (low == "") | begins | contains_any(low, [*marks, "drwx", "rwxr-xr-x", "\ntotal "]) | (F.size(tokens) >= 5)
 
 
 def scan(lines: DataFrame, query: str, active_dir: str | None = None, limit: int = 0) -> DataFrame:

@@ -203,7 +203,7 @@ tagged as (select *, list_filter(items, lambda x, i: x is not null and x <> '' a
 
 
 
-def _clean_sql(column: str) -> str:
+def clean_sql(column: str) -> str:
     """A text without private blocks and secrets, in SQL, from the same patterns."""
     bare = f"trim(regexp_replace(regexp_replace({column}, '(?is)<private>.*?</private>', '', 'g'), '(?i)</?private>', '', 'g'), ' ')"
     out = bare
@@ -214,8 +214,8 @@ def _clean_sql(column: str) -> str:
 
 
 SQL = {
-    "clean_documents": f"select doc_id, md5({_clean_sql('text')}) as text_md5 from documents where text is not null",
-    "import_new": rf"""with {OBS}, {_PARSED_TAGS}, clean as (select *, {_clean_sql("coalesce(title, '')")} as t2, {_clean_sql("coalesce(content, '')")} as c2,
+    "clean_documents": f"select doc_id, md5({clean_sql('text')}) as text_md5 from documents where text is not null",
+    "import_new": rf"""with {OBS}, {_PARSED_TAGS}, clean as (select *, {clean_sql("coalesce(title, '')")} as t2, {clean_sql("coalesce(content, '')")} as c2,
   case when regexp_matches(file_path, '^(?:/|~|[A-Za-z]:[\/]|\\)') or contains(file_path, '..') then 'import://local-path-redacted' else coalesce(file_path, '') end as p2 from tagged where source_type = 'import'),
 own as (select coalesce(nullif(fingerprint, ''), sha256(concat_ws('|', source_type, t2, c2, coalesce(created_at_epoch::varchar, '')))) as fingerprint, p2 as file_path, array_to_string(tags, ',') as tags,
   md5(c2) as content_md5, created_at_epoch, t2, c2, session_id from clean where t2 <> '' and c2 <> '')

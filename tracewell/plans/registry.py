@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import data, search, timestamps
+from tracewell.plans import data, parsed, recall, search, timestamps
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = [search, data, timestamps]
+MODULES: list = [search, data, parsed, recall, timestamps]
 
 
 def queries() -> dict[str, Query]:

@@ -152,7 +152,7 @@ QUERIES = {
 _T, _C, _P = (f"lower(coalesce({c}, ''))" for c in ("title", "content", "file_path"))
 
 
-def _any(term: str) -> str:
+def any_of(term: str) -> str:
     return "(" + " or ".join(f"contains({f}, '{term}')" for f in (_T, _C, _P)) + ")"
 
 
@@ -163,8 +163,8 @@ def _score_sql(terms: list[str]) -> str:
     for t in (t.lower() for t in terms):
         size = max(4, len(t) ** 2)
         tf = f"least(100.0, (length({_C}) - length(replace({_C}, '{t}', ''))) / {len(t)}.0 * {math.sqrt(len(t))!r})"
-        parts += [f"(case when {_any(t)} then {size} + {tf} else 0 end)", f"(case when contains({_T}, '{t}') then {2 * size} else 0 end)"]
-    parts.append(f"(case when {_any(' '.join(t.lower() for t in terms))} then 50 else 0 end)")
+        parts += [f"(case when {any_of(t)} then {size} + {tf} else 0 end)", f"(case when contains({_T}, '{t}') then {2 * size} else 0 end)"]
+    parts.append(f"(case when {any_of(' '.join(t.lower() for t in terms))} then 50 else 0 end)")
     parts.append(f"greatest(0.0, 20.0 - 3.0 * log2(1.0 + greatest(0, {AS_OF} - coalesce(created_at_epoch, 0)) / 86400.0))")
     clean = {c: f"trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g'))" for c in ("title", "content")}
     path = f"{clean['title']} <> '' and {clean['title']} = {clean['content']} and contains({clean['content']}, '/') and not regexp_matches({clean['content']}, '[。，.:]')"
@@ -180,7 +180,7 @@ def _score_sql(terms: list[str]) -> str:
     return " + ".join(parts) + " - " + " - ".join(lost)
 
 
-_RANKED = f"""with {DOCS}, scored as (select *, {_score_sql(TERMS)} as s from docs where {' or '.join(_any(t.lower()) for t in TERMS)}),
+RANKED = f"""with {DOCS}, scored as (select *, {_score_sql(TERMS)} as s from docs where {' or '.join(any_of(t.lower()) for t in TERMS)}),
 ranked as (select *, trunc(s)::bigint as score from scored where s > 0)"""
 _WORDS = r"list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 2)"
 
@@ -213,11 +213,11 @@ select key, score from found where c = {len(tokens)} order by score desc, key li
 
 
 SQL = {
-    "search_ranked": f"{_RANKED} select file_path, source_type, created_at_epoch, score from ranked order by score desc, created_at_epoch desc, file_path limit 10",
-    "search_like": f"with {DOCS} select file_path, created_at_epoch from docs where {' or '.join(_any(t.lower()) for t in TERMS)} order by created_at_epoch desc, file_path desc limit 200",
-    "search_rank_all": f"{_RANKED} select file_path, score from ranked",
+    "search_ranked": f"{RANKED} select file_path, source_type, created_at_epoch, score from ranked order by score desc, created_at_epoch desc, file_path limit 10",
+    "search_like": f"with {DOCS} select file_path, created_at_epoch from docs where {' or '.join(any_of(t.lower()) for t in TERMS)} order by created_at_epoch desc, file_path desc limit 200",
+    "search_rank_all": f"{RANKED} select file_path, score from ranked",
     "session_prefix": f"with {DOCS} select file_path, session_id from docs where starts_with(lower(session_id), 'a3') order by created_at_epoch desc, file_path limit 1000",
-    "term_documents": f"with {DOCS} " + " union all ".join(f"select '{t}' as term, count(*) filter ({_any(t.lower())}) as n_docs from docs" for t in TERMS),
+    "term_documents": f"with {DOCS} " + " union all ".join(f"select '{t}' as term, count(*) filter ({any_of(t.lower())}) as n_docs from docs" for t in TERMS),
     "observation_filter": f"""with {OBS} select id, created_at_epoch from obs where (contains(lower(coalesce(title, '')), 'retry') or contains(lower(coalesce(content, '')), 'retry')
         or contains(lower(coalesce(tags_json, '')), 'retry')) and source_type = 'history' and created_at_epoch between 1680000000 and 1740000000""",
     "observation_page": f"""with {OBS} select id, created_at_epoch from obs where contains(lower(coalesce(title, '')), 'index') or contains(lower(coalesce(content, '')), 'index')
@@ -241,7 +241,7 @@ union all (select anchor, id, created_at_epoch, 'after' as side from anchors joi
 g as (select *, instr(lower(c), 'frozen') - 1 as hit, length(c) as n, least(length(c), instr(lower(c), 'frozen') - 1 + 6 + 90) as e from f)
 select file_path, trim(substr(content, greatest(1, i - 120), i + 6 + 120 - greatest(1, i - 120)), ' ') as around,
   case when n <= 180 then c else (select substr(c, s + 1, e - s) from (select case when e - greatest(0, hit - 90) < 180 then greatest(0, e - 180) else greatest(0, hit - 90) end as s)) end as clipped from g""",
-    "recall_union": f"with {DOCS}, hits as (" + " union all ".join(f"select file_path, {i} as query_no from docs where {_any(t.lower())}" for i, t in enumerate((*TERMS, "watcher"))) + ") select file_path, min(query_no)::int as query_no from hits group by 1",
+    "recall_union": f"with {DOCS}, hits as (" + " union all ".join(f"select file_path, {i} as query_no from docs where {any_of(t.lower())}" for i, t in enumerate((*TERMS, "watcher"))) + ") select file_path, min(query_no)::int as query_no from hits group by 1",
     "semantic_fallback": f"""with {DOCS}, {OBS}, m as (select 'memory' as origin, id::varchar as key, title from obs where contains(content, 'codex_session'))
 select * from m union all select 'session', file_path, title from docs where source_type = 'codex_session' and not exists (select 1 from m)""",
     "newest_of_source": f"with {DOCS} select source_type, file_path, row_number() over (partition by source_type order by created_at_epoch desc, file_path)::int as rank from docs qualify rank <= 5",

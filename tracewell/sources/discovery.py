@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.memory import changes
 from tracewell.sources import transcripts
-from tracewell.sources.lines import file_name
+from tracewell.sources.lines import file_name, parent, stem
 
 # Source type and glob patterns under the home folder.
 JSONL = {
@@ -36,6 +36,8 @@ WHOLE = {
     "zed_session": [".config/zed/conversations/*.json", ".local/share/zed/conversations/*.json"],
 }
 NOTES = {"aider_session": ["**/.aider.chat.history.md"]}
+#: Files beside a task's messages that name it.
+TASKS = {"cline_session": "task_metadata.json", "roo_session": "task_metadata.json"}
 EVERY = JSONL | PLAIN | WHOLE | NOTES
 
 
@@ -59,18 +61,15 @@ def inventory(files: DataFrame) -> DataFrame:
 
 
 def read_files(files: DataFrame, whole: bool = False) -> DataFrame:
-    """Lines (path, at, line, mtime, size) or whole texts (path, text, mtime, size) of listed local files; undecodable bytes are dropped, vanished files skipped."""
+    """Lines (path, at, line, mtime, size) or whole texts (path, text, mtime, size) of listed local files; undecodable bytes are dropped. A file that an executor cannot open is an error: on a cluster the folder must be shared."""
     kind = "path string, text string, mtime bigint, size bigint" if whole else "path string, at struct<block:bigint,row:bigint>, line string, mtime bigint, size bigint"
     at = pa.struct([("block", pa.int64()), ("row", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, mtime, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    with open(path, "rb") as f:
-                        text = f.read().decode("utf-8", "ignore")
-                except OSError:
-                    continue
+                with open(path, "rb") as f:
+                    text = f.read().decode("utf-8", "ignore")
                 if whole:
                     yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text]), pa.array([mtime], pa.int64()), pa.array([size], pa.int64())], names=["path", "text", "mtime", "size"])
                     continue
@@ -82,14 +81,28 @@ def read_files(files: DataFrame, whole: bool = False) -> DataFrame:
     return files.select("path", "mtime", "size").mapInArrow(run, kind)
 
 
+def _beside(files: DataFrame, names: list[str]) -> DataFrame:
+    """Those files beside the listed ones that are there: names with the stem of a listed file in place of {}."""
+    name = stem(F.col("path"))
+    paths = F.array(*[F.concat_ws("/", parent(F.col("path")), F.format_string(n.replace("{}", "%s"), *([name] if "{}" in n else []))) for n in names])
+    there = F.udf(lambda p: os.path.isfile(p), "boolean")
+    return files.select(F.explode(paths).alias("path")).distinct().filter(there("path")).select("path", F.lit(0).cast("bigint").alias("mtime"), F.lit(0).cast("bigint").alias("size"))
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """Documents of listed files of all sources, as one union of the parsers of those that occur."""
     parts = []
     there = {r[0] for r in files.select("source_type").distinct().collect()}
     for source in [s for s in EVERY if s in there] or ["codex_history"]:
         own = files.filter(F.col("source_type") == source)
-        if source in WHOLE:
+        if source in TASKS:
+            texts = read_files(own, whole=True)
+            parts.append(transcripts.json_files(texts, source, transcripts.task_titles(texts, read_files(_beside(own, [TASKS[source]]), whole=True))))
+        elif source in WHOLE:
             parts.append(transcripts.json_files(read_files(own, whole=True), source))
+        elif source == "hermes_session":
+            rows = read_files(own)
+            parts.append(transcripts.generic(rows, source, transcripts.sidecar_titles(rows, read_files(_beside(own, ["session_{}.json", "{}.json"]), whole=True))))
         elif source in NOTES:
             parts.append(transcripts.aider(read_files(own, whole=True)))
         else:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import compact
-from tracewell.operators.topk import positions
+from tracewell.operators.topk import positions, top_k
 
 #: Characters that a document's content keeps, separators counted.
 CONTENT_CAP, TITLE_CAP = 24_000, 300
@@ -45,13 +45,18 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"^file:/*(?=/)", ""), r"/[^/]*$", "")
 
 
-def join_pieces(pieces: DataFrame, key: str = "path", at: str = "at", text: str = "text", cap: int = CONTENT_CAP) -> DataFrame:
-    """(key, content): the pieces of each key in order, white space compacted, joined by line ends, up to the cap.
+def join_pieces(pieces: DataFrame, key: str = "path", at: str = "at", text: str = "text", cap: int | None = CONTENT_CAP) -> DataFrame:
+    """(key, content): the pieces of each key in order, white space compacted, joined by line ends, up to the cap (None: whole texts).
 
-    Pieces beyond the cap are dropped before a key's pieces are gathered, so that a file of any length gives a bounded row.
+    Pieces beyond the cap are dropped before a key's pieces meet: as each adds two characters at least, the first cap / 2
+    of a key, found by parts of it, are enough. Without a cap a key's row grows with its pieces; see ordered_pieces().
     """
     clean = pieces.select(key, F.col(at).alias("_at"), compact(F.col(text)).alias("_text")).filter("_text is not null and _text <> ''")
-    before = F.sum(F.length("_text") + 1).over(Window.partitionBy(key).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    if cap is None:
+        gathered = clean.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", "_text"))).alias("_all"))
+        return gathered.select(key, F.array_join(F.col("_all._text"), "\n").alias("content"))
+    clean = top_k(clean, [key], [F.col("_at"), F.col("_text")], cap // 2 + 1).drop("rank")
+    before = F.sum(F.length("_text") + 1).over(Window.partitionBy(key).orderBy("_at", "_text").rowsBetween(Window.unboundedPreceding, -1))
     kept = clean.withColumn("_left", cap - F.coalesce(before, F.lit(0))).filter("_left > 0").withColumn("_text", F.expr("substring(_text, 1, cast(_left as int))"))
     gathered = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", "_text"))).alias("_all"))
     return gathered.select(key, F.array_join(F.col("_all._text"), "\n").alias("content"))

@@ -10,7 +10,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from tracewell.functions.variant import string_at
-from tracewell.sources.lines import join_pieces
+from tracewell.sources.lines import CONTENT_CAP, join_pieces
 
 #: Keys of chats in the key-value stores of editors (fixed values).
 CHAT_KEYS = ["chat", "conversation", "composer", "aichat", "copilot", "prompts", "generations", "messages"]
@@ -24,14 +24,20 @@ def part_texts(parts: DataFrame) -> DataFrame:
     return rows.filter("session_id is not null and text is not null")
 
 
-def session_documents(sessions: DataFrame, parts: DataFrame, source_type: str, full: bool = False) -> DataFrame:
+def session_documents(
+    sessions: DataFrame, parts: DataFrame, source_type: str, full: bool = False, messages: DataFrame | None = None, cap: int | None = CONTENT_CAP
+) -> DataFrame:
     """One document for each session, with its parts' texts in order; with `full` also for sessions that only parts know (their id is the title).
 
-    Times are milliseconds; the epoch is at least 1.
+    messages (rows as parts) stand in for the parts of sessions that have no part with a text. Times are milliseconds;
+    the epoch is at least 1. Contents end at cap characters (None: whole texts).
     """
     one = sessions.filter("id is not null").groupBy("id").agg(F.max(F.struct("time_updated", "time_created", "title", "directory")).alias("s"))
     one = one.select(F.col("id").alias("session_id"), "s.*")
-    contents = join_pieces(part_texts(parts), "session_id")
+    texts = part_texts(parts)
+    if messages is not None:
+        texts = texts.unionByName(part_texts(messages).join(texts.select("session_id").distinct(), "session_id", "left_anti"))
+    contents = join_pieces(texts, "session_id", cap=cap)
     docs = one.join(contents, "session_id", "full" if full else "left")
     title = F.coalesce(F.nullif("title", F.lit("")), F.nullif("directory", F.lit("")), "session_id")
     epoch = F.greatest(F.lit(1), F.floor(F.coalesce("time_updated", "time_created", F.lit(0)) / 1000)).cast("bigint")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tracewell.functions.text import fingerprint, is_noise, strip_private
 from tracewell.functions.variant import string_at as _s
 from tracewell.operators.topk import top_k
-from tracewell.sources.lines import file_name, finish, join_pieces, stem
+from tracewell.sources.lines import CONTENT_CAP, file_name, finish, join_pieces, parent, stem
+from tracewell.sources.tables import chat_values
 
 BLOCKS = ("input_text", "output_text", "text")
 
@@ -87,54 +88,120 @@ def shell(lines: DataFrame, source_type: str) -> DataFrame:
     return _flat(lines, lines.select("path", "at", command.alias("text")), source_type)
 
 
-TEXT_KEYS = ("text", "input", "prompt", "display", "message", "body", "summary", "title")
+# Keys whose texts count in any record, and keys under which further values are.
+TEXT_KEYS = ("text", "input", "prompt", "display", "message", "body", "summary", "title", "textDescription", "description")
 NESTED_KEYS = ("content", "parts", "messages", "items", "payload", "data", "state", "response")
 
 
+def plain_text(value: str) -> str:
+    """A text without white space around it; one that is a JSON string once more is unwrapped."""
+    text = value.strip()
+    if len(text) >= 2 and text[0] == text[-1] == '"':
+        try:
+            inner = json.loads(text)
+        except ValueError:
+            inner = None
+        if isinstance(inner, str) and inner.strip():
+            return inner.strip()
+    return text
+
+
 def fragments(node: object, depth: int = 0, most: int = 20) -> Iterator[str]:
     """All texts of a JSON value under known keys, in order, to a depth."""
     if depth > most or node is None:
         return
     if isinstance(node, str):
-        yield node.strip()
+        yield plain_text(node)
     elif isinstance(node, list):
         for x in node:
             yield from fragments(x, depth + 1, most)
     elif isinstance(node, dict):
         for key in TEXT_KEYS:
             if isinstance(node.get(key), str):
-                yield node[key].strip()
+                yield plain_text(node[key])
         for key in NESTED_KEYS:
             yield from fragments(node.get(key), depth + 1, most)
 
 
-def generic(lines: DataFrame, source_type: str) -> DataFrame:
-    """Transcripts of any writer: all texts under known keys, each once in its record; the last session id and title."""
+def _named(v: dict, *keys: str) -> str | None:
+    """The first text under the keys that is not blank."""
+    return next((v[k].strip() for k in keys if isinstance(v.get(k), str) and v[k].strip()), None)
+
+
+Read = tuple[str | None, str | None, list[str]]
+
+
+def read_record(v: object) -> Read:
+    """Session id, title and texts of a record of any writer."""
+    v = v if isinstance(v, dict) else {}
+    return _named(v, "session_id", "sessionId", "id"), _named(v, "title"), list(fragments(v))
+
+
+def _headed(title: str | None, directory: str | None, said: object) -> list[str]:
+    head = [x for x in (title, directory) if x]
+    return head + list(fragments([x for x in said if isinstance(x, dict)] if isinstance(said, list) else said if isinstance(said, dict) else None))
+
+
+def read_continue(v: object) -> Read:
+    """A session object with its messages under history or messages."""
+    v = v if isinstance(v, dict) else {}
+    session = _named(v, "sessionId", "id")
+    title = _named(v, "title") or session
+    return session, title, _headed(title, _named(v, "workspaceDirectory"), [m.get("message", m) if isinstance(m, dict) and isinstance(m.get("message"), dict) else m for m in v.get("history") or v.get("messages") or []])
+
+
+def read_zed(v: object) -> Read:
+    """A conversation object with its messages under messages or message_metadata, as a list or an object."""
+    v = v if isinstance(v, dict) else {}
+    session = _named(v, "id")
+    title = _named(v, "title", "summary") or session
+    said = v.get("messages") or v.get("message_metadata")
+    if isinstance(said, dict) and not list(fragments(said)):
+        said = list(said.values())  # by message id
+    return session, title, _headed(title, None, said)
+
+
+def read_messages(v: object) -> Read:
+    """A list of messages with a content each."""
+    said = [m.get("content") for m in v if isinstance(m, dict)] if isinstance(v, list) else []
+    return None, None, list(fragments(said))
+
+
+#: Reader of the records of each source type; others go through read_record().
+READERS: dict[str, Callable[[object], Read]] = {"continue_session": read_continue, "zed_session": read_zed, "cline_session": read_messages, "roo_session": read_messages}
+
+
+def generic(lines: DataFrame, source_type: str, titles: DataFrame | None = None, cap: int | None = CONTENT_CAP) -> DataFrame:
+    """Transcripts of any writer: all texts under known keys, each once in its record; the last session id and title.
+
+    titles (path, session_id, title) from elsewhere, as of sidecar files or first lines, stand before a file's own.
+    """
     schema = "path string, at struct<block:bigint,row:bigint>, session string, title string, texts array<string>, mtime bigint, size bigint"
+    reader = READERS.get(source_type, read_record)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sessions, titles, texts = [], [], []
+            records = []
             for line in batch.column("line").to_pylist():
                 try:
-                    v = json.loads(line)
+                    records.append(reader(json.loads(line)))
                 except (TypeError, ValueError, RecursionError):
-                    v = None
-                v = v if isinstance(v, dict) else {}
-                named = v.get("session_id") or v.get("sessionId") or v.get("id")
-                sessions.append(named.strip() or None if isinstance(named, str) else None)
-                titles.append(v["title"].strip() or None if isinstance(v.get("title"), str) else None)
-                texts.append([t for t in dict.fromkeys(fragments(v)) if t])
-            columns = [batch.column("path"), batch.column("at"), pa.array(sessions, pa.string()), pa.array(titles, pa.string()), pa.array(texts, pa.list_(pa.string())), batch.column("mtime"), batch.column("size")]
+                    records.append((None, None, []))
+            sessions, names, texts = zip(*records, strict=True) if records else ((), (), ())
+            texts = [[t for t in dict.fromkeys(x) if t] for x in texts]
+            columns = [batch.column("path"), batch.column("at"), pa.array(sessions, pa.string()), pa.array(names, pa.string()), pa.array(texts, pa.list_(pa.string())), batch.column("mtime"), batch.column("size")]
             yield pa.RecordBatch.from_arrays(columns, names=["path", "at", "session", "title", "texts", "mtime", "size"])
 
     rows = lines.select("path", "at", "line", F.col("mtime").cast("bigint"), F.col("size").cast("bigint")).mapInArrow(run, schema)
     last = {c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))) for c in ("session", "title")}
     meta = rows.groupBy("path").agg(last["session"].alias("s"), last["title"].alias("t"), F.max("mtime").alias("mtime"), F.max("size").alias("size"))
     path = F.col("path")
+    if titles is not None:
+        side = titles.select("path", F.col("session_id").alias("_s"), F.col("title").alias("_t"))
+        meta = meta.join(side, "path", "left").withColumns({"s": F.coalesce(F.nullif("_s", F.lit("")), "s"), "t": F.coalesce(F.nullif("_t", F.lit("")), "t")}).drop("_s", "_t")
     meta = meta.select("path", F.coalesce("s", stem(path)).alias("session_id"), F.coalesce("t", file_name(path)).alias("title"), F.lit("").alias("created_at"), "mtime", "size")
     texts = rows.select("path", "at", F.posexplode("texts").alias("i", "text")).select("path", F.struct("at", "i").alias("at"), "text")
-    return finish(meta, join_pieces(texts), source_type, needs_content=True)
+    return finish(meta, join_pieces(texts, cap=cap), source_type, needs_content=True)
 
 
 def copilot(lines: DataFrame) -> DataFrame:
@@ -158,12 +225,35 @@ def with_sidecar(docs: DataFrame, sidecars: DataFrame) -> DataFrame:
     return joined.withColumn("title", F.coalesce(F.nullif("_title", F.lit("")), "title")).select(*docs.columns)
 
 
+def sidecar_titles(lines: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """(path, session_id, title) of transcripts from files beside them (path, text): `session_<name>.json` before `<name>.json`, of the same folder."""
+    v = F.try_parse_json("text")
+    folder, name = parent(F.col("path")), stem(F.col("path"))
+    session = F.coalesce(_s(v, "$.session_id"), _s(v, "$.id"))
+    side = sidecars.select(folder.alias("_in"), F.regexp_replace(name, "^session_", "").alias("_of"), (~name.startswith("session_")).alias("_second"), session.alias("session_id"), F.coalesce(_s(v, "$.title"), _s(v, "$.session_title"), session).alias("title"))
+    one = side.groupBy("_in", "_of").agg(F.min_by(F.struct("session_id", "title"), "_second").alias("x"))
+    files = lines.select("path").distinct().select("path", folder.alias("_in"), name.alias("_of"))
+    return files.join(one, ["_in", "_of"]).select("path", "x.session_id", "x.title")
+
+
 def first_titles(lines: DataFrame, most: int = 6) -> DataFrame:
-    """(path, title) from the first lines of each file: the first that has a title, session title or directory."""
+    """(path, session_id, title) from the first lines of each file: the first that has a title of some name, else a directory; the session is the file's name."""
     v = F.col("v")
     head = top_k(lines.select("path", "at", "line"), ["path"], [F.col("at")], most)
-    rows = _parsed(head).withColumn("t", F.coalesce(*[F.nullif(_s(v, k), F.lit("")) for k in ("$.title", "$.sessionTitle", "$.cwd")]))
-    return rows.groupBy("path").agg(F.min_by("t", F.when(F.col("t").isNotNull(), F.col("rank"))).alias("title"))
+    rows = _parsed(head).withColumn("t", F.coalesce(*[F.nullif(_s(v, k), F.lit("")) for k in ("$.sessionTitle", "$.title", "$.session_title", "$.name", "$.cwd", "$.directory")]))
+    rows = rows.groupBy("path").agg(F.min_by("t", F.when(F.col("t").isNotNull(), F.col("rank"))).alias("title"))
+    return rows.select("path", stem(F.col("path")).alias("session_id"), F.coalesce("title", stem(F.col("path"))).alias("title"))
+
+
+def task_titles(files: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(path, session_id, title) of task folders: the folder's name and the task of its metadata file (path, text), up to 200 characters."""
+    v = F.try_parse_json("text")
+    folder = parent(F.col("path"))
+    named = F.coalesce(F.nullif(F.trim(_s(v, "$.task")), F.lit("")), F.nullif(F.trim(_s(v, "$.title")), F.lit("")))
+    meta = metadata.select(folder.alias("_in"), F.substring(named, 1, 200).alias("title"))
+    tasks = files.select("path", folder.alias("_in")).join(meta, "_in", "left")
+    sid = file_name(F.col("_in"))
+    return tasks.select("path", sid.alias("session_id"), F.coalesce("title", sid).alias("title"))
 
 
 def markdown(files: DataFrame) -> DataFrame:
@@ -194,18 +284,27 @@ def markdown(files: DataFrame) -> DataFrame:
 
 def aider(files: DataFrame) -> DataFrame:
     """Chat histories in Markdown: chunks between `####` and `---`, those of more than 10 characters."""
-    chunks = F.filter(F.transform(F.split("text", r"(?m)^(?:####|---)"), lambda x: F.trim(x)), lambda c: F.length(c) > 10)
+    chunks = F.filter(F.transform(F.split("text", r"(?m)^(?:####|---)"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda c: F.length(c) > 10)
     pieces = files.select("path", F.posexplode(chunks).alias("at", "text"))
     meta = files.select("path", F.substring(F.sha2("path", 256), 1, 16).alias("session_id"), file_name(F.col("path")).alias("title"), F.lit("").alias("created_at"), "mtime", "size")
     return finish(meta, join_pieces(pieces), "aider_session", needs_content=True)
 
 
-def json_files(files: DataFrame, source_type: str) -> DataFrame:
-    """One JSON value a file (message lists, threads, history objects): as generic lines, comments before lines removed."""
+def json_files(files: DataFrame, source_type: str, titles: DataFrame | None = None, cap: int | None = CONTENT_CAP) -> DataFrame:
+    """One JSON value a file (message lists, threads, history objects), comments before lines removed; see generic()."""
     bare = F.regexp_replace(F.regexp_replace("text", r"(?m)^\s*//.*$", ""), r"^\s+", "")
     at = F.struct(F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("row"))
-    wrapped = F.when(bare.startswith("["), F.concat(F.lit('{"items": '), bare, F.lit("}"))).otherwise(bare)
-    return generic(files.select("path", at.alias("at"), wrapped.alias("line"), "mtime", "size"), source_type)
+    wrapped = bare if source_type in READERS else F.when(bare.startswith("["), F.concat(F.lit('{"items": '), bare, F.lit("}"))).otherwise(bare)
+    return generic(files.select("path", at.alias("at"), wrapped.alias("line"), "mtime", "size"), source_type, titles, cap)
+
+
+def key_values(store: DataFrame, source_type: str, cap: int | None = CONTENT_CAP) -> DataFrame:
+    """Documents of a key-value store's chat values (path, key, value, mtime, size): one for each value, its key the session."""
+    at = F.struct(F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("row"))
+    rows = chat_values(store).withColumn("path", F.concat("path", F.lit("#"), "key"))
+    wrapped = F.when(F.ltrim("value").startswith("["), F.concat(F.lit('{"items": '), "value", F.lit("}"))).otherwise(F.col("value"))
+    titles = rows.select("path", F.col("key").alias("session_id"), F.lit(None).cast("string").alias("title"))
+    return generic(rows.select("path", at.alias("at"), wrapped.alias("line"), "mtime", "size"), source_type, titles, cap)
 
 
 #: Parser of each source type's lines; other types go through the generic one.
@@ -217,4 +316,6 @@ PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def parse(lines: DataFrame, source_type: str) -> DataFrame:
+    if source_type == "factory_session":
+        return generic(lines, source_type, first_titles(lines))
     return PARSERS.get(source_type, lambda rows: generic(rows, source_type))(lines)

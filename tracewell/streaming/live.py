@@ -13,9 +13,10 @@ from tracewell.session import new_path
 TEXT_CAP, EXPORTED = 4000, 60
 
 
-def sanitise(messages: DataFrame, text: str = "text") -> DataFrame:
-    """Texts without private blocks and secrets, up to 4000 characters; blank ones are dropped."""
-    clean = F.substring(redact_secrets(strip_private(F.coalesce(F.col(text), F.lit("")))), 1, TEXT_CAP)
+def sanitise(messages: DataFrame, text: str = "text", cap: int | None = TEXT_CAP) -> DataFrame:
+    """Texts without private blocks and secrets, up to cap characters (None: whole); blank ones are dropped."""
+    clean = redact_secrets(strip_private(F.coalesce(F.col(text), F.lit(""))))
+    clean = clean if cap is None else F.substring(clean, 1, cap)
     return messages.withColumn(text, clean).filter(F.trim(text) != "")
 
 
