@@ -57,5 +57,7 @@ def test_leak_cases(spark):
     assert sorted(map(tuple, joined.collect())) == expected
     clean = {r.doc_id: (r.text, r.leaked) for r in leaks.remove_leaks(docs, "text", items, "item_id", ["question", "answer"]).collect()}
     assert clean[1] == ("x  y", True) and clean[2] == ("one two three four five six seven", False) and clean[3] == (None, False) and clean[5] == ("", True)
+    far = leaks.remove_leaks(docs, "text", items, "item_id", ["question", "answer"], broadcast_ngrams=0)
+    assert {(r.doc_id, r.text, r.item_id, r.leaked) for r in far.collect()} == {(k, t, 9, x) for k, (t, x) in clean.items()} and far.count() == docs.count()
     assert leaks.find_leaks(docs.limit(0), "doc_id", "text", items, "item_id", ["question"]).count() == 0
     assert leaks.find_leaks(docs, "doc_id", "text", items.limit(0), "item_id", ["question"]).count() == 0

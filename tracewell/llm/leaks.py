@@ -9,11 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracewell.llm.words import WORD, words
+from tracewell.session import pin
 
 #: Consecutive words that make a leak; n-grams of evaluation items up to which their set is broadcast.
 LENGTH, BROADCAST_NGRAMS = 8, 2_000_000
+#: Tasks over which the documents of one n-gram are spread.
+SALTS = 16
 
 
 def item_ngrams(items: DataFrame, item: str, passages: list[str], length: int = LENGTH) -> DataFrame:
@@ -64,19 +68,16 @@ class NgramScanner:
 HITS = "array<struct<ngram:string,start:int,end:int>>"
 
 
-def scan(df: DataFrame, text: str, ngrams: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Adds column _hits: the n-grams of `ngrams` (column ngram) that occur in text, with their places. Null texts have none.
-
-    The set is broadcast as hash set, and only after its size is known; it has a fixed bound (BROADCAST_NGRAMS).
-    """
-    scanner_words = df.sparkSession.sparkContext.broadcast([r[0] for r in ngrams.select("ngram").distinct().collect()])
+def _scan(df: DataFrame, text: str, wanted: list[str], length: int) -> DataFrame:
+    """Adds column _hits: the wanted n-grams, a broadcast set of bounded size, that occur in text, with their places. Null texts have none."""
+    shared = df.sparkSession.sparkContext.broadcast(wanted)
     kept = df.drop("_hits")
     schema = kept.withColumn("_hits", F.lit(None).cast(HITS)).schema
     place = kept.columns.index(text)
     kind = pa.list_(pa.struct([("ngram", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = NgramScanner(scanner_words.value, length)
+        scanner = NgramScanner(shared.value, length)
         for batch in batches:
             hits = [[{"ngram": g, "start": a, "end": b} for g, a, b in scanner.hits(t)] if t else [] for t in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, kind)], names=[*batch.schema.names, "_hits"])
@@ -85,7 +86,7 @@ def scan(df: DataFrame, text: str, ngrams: DataFrame, length: int = LENGTH) -> D
 
 
 def _windows(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """All windows of all texts as rows (key, ngram), for a set of n-grams that is too large to broadcast."""
+    """All windows of all texts as rows (_key, ngram), for a set of n-grams that is too large to broadcast."""
     schema = T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("ngram", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +102,12 @@ def _windows(df: DataFrame, key: str, text: str, length: int) -> DataFrame:
     return df.select(key, text).mapInArrow(run, schema)
 
 
+def _met(windows: DataFrame, grams: DataFrame) -> DataFrame:
+    """Windows with the rows of their n-gram. A passage that a third of all documents have is spread over SALTS tasks."""
+    salted = grams.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return windows.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")).join(salted, ["ngram", "_salt"]).drop("_salt")
+
+
 def find_leaks(
     df: DataFrame, key: str, text: str, items: DataFrame, item: str, passages: list[str], length: int = LENGTH, broadcast_ngrams: int = BROADCAST_NGRAMS
 ) -> DataFrame:
@@ -108,34 +115,57 @@ def find_leaks(
 
     Words are compared in lower case without what stands between them. A document is named once for an item, however
     often or in how many rows it has its words; null and shorter texts and passages have no case, and rows with a null
-    key are left out. If the items have more than broadcast_ngrams n-grams, documents meet them in a join on the n-gram
-    instead of a broadcast set.
+    key are left out. The items' n-grams are broadcast with the items that have them; if there are more than
+    broadcast_ngrams, documents meet them in a join on the n-gram instead.
     """
     docs = df.select(key, text).filter(F.col(text).isNotNull() & F.col(key).isNotNull())
-    grams = item_ngrams(items, item, passages, length).cache()
-    if grams.count() <= broadcast_ngrams:
-        found = scan(docs, text, grams, length).filter(F.size("_hits") > 0)
-        hits = found.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.col("_hits.ngram"))).alias("ngram"))
-    else:
-        hits = _windows(docs, key, text, length)
-    return hits.join(grams, "ngram").select(F.col("_key").alias(key), F.col("item").alias(item)).distinct()
+    grams = pin(item_ngrams(items, item, passages, length), "leak-ngrams")
+    if grams.count() > broadcast_ngrams:
+        return _met(_windows(docs, key, text, length), grams).select(F.col("_key").alias(key), F.col("item").alias(item)).distinct()
+    owners = defaultdict(list)
+    for owner, gram in grams.collect():
+        owners[gram].append(owner)
+    shared = df.sparkSession.sparkContext.broadcast(dict(owners))
+    schema = T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("_item", items.schema[item].dataType)])
+    kind = to_arrow_type(items.schema[item].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = NgramScanner(list(shared.value), length)
+        for batch in batches:
+            found: dict[tuple, None] = {}
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found.update(((k, owner), None) for gram, *_ in scanner.hits(t) for owner in shared.value[gram])
+            keys, owned = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(owned, kind)], names=["_key", "_item"])
+
+    return docs.mapInArrow(run, schema).select(F.col("_key").alias(key), F.col("_item").alias(item)).distinct()
 
 
-def remove_leaks(df: DataFrame, text: str, items: DataFrame, item: str, passages: list[str], length: int = LENGTH) -> DataFrame:
+def remove_leaks(
+    df: DataFrame, text: str, items: DataFrame, item: str, passages: list[str], length: int = LENGTH, broadcast_ngrams: int = BROADCAST_NGRAMS
+) -> DataFrame:
     """df with every leaked window taken out of text, and whether anything was in column `leaked`; null texts stay null.
 
-    For item sets within BROADCAST_NGRAMS; others raise. What surrounds a removed stretch is kept as it is.
+    What surrounds a removed stretch is kept as it is. If the items have more than broadcast_ngrams n-grams, distinct
+    texts meet them in a join, and rows get their text's hits by its hash.
     """
-    grams = item_ngrams(items, item, passages, length)
-    if (n := grams.count()) > BROADCAST_NGRAMS:
-        raise ValueError(f"{n} n-grams are too many to broadcast; find_leaks() names the documents to drop")
-    found = scan(df.drop("leaked"), text, grams, length)
-    schema = found.withColumn("leaked", F.lit(True)).drop("_hits").schema
-    place = found.columns.index(text)
-
-    def cut(value: str | None, hits: list[dict]) -> str | None:
-        if not hits or len(value.lower()) != len(value):  # lower-casing may lengthen a few letters: then places don't hold
-            return value if not hits else _cut_by_words(value, {h["ngram"] for h in hits}, length)
+    grams = pin(item_ngrams(items, item, passages, length).select("ngram").distinct(), "leak-ngrams")
+    kept = df.drop("leaked")
+    place, schema = kept.columns.index(text), kept.withColumn("leaked", F.lit(True)).schema
+    if grams.count() > broadcast_ngrams:
+        mark = F.when(F.col(text).isNotNull(), F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b")))
+        texts = kept.select(mark.alias("_mark"), F.col(text).alias("_text")).filter("_mark is not null").dropDuplicates(["_mark"])
+        hits = _met(_windows(texts, "_mark", "_text", length), grams).groupBy("_key").agg(F.collect_set("ngram").alias("_grams"))
+        joined = kept.withColumn("_mark", mark).join(hits.withColumnRenamed("_key", "_mark"), "_mark", "left")
+        found = joined.select(*kept.columns, F.transform("_grams", lambda g: F.struct(g.alias("ngram"))).alias("_hits"))
+    else:
+        found = _scan(kept, text, [r[0] for r in grams.collect()], length)
+
+    def cut(value: str | None, hits: list[dict] | None) -> str | None:
+        if not hits:
+            return value
+        if "start" not in hits[0] or len(value.lower()) != len(value):  # lower-casing may lengthen a few letters: then places don't hold
+            return _cut_by_words(value, {h["ngram"] for h in hits}, length)
         out, at = [], 0
         for h in hits:
             if h["start"] > at:
