@@ -4,8 +4,8 @@ import random
 
 import pytest
 
-from tracewell.llm.codecs import from_utf8, to_bytes
-from tracewell.llm.garbled import restore, tokens
+from tracewell.llm.codecs import fits, from_utf8, to_bytes, utf8_lattice
+from tracewell.llm.garbled import Model, restore, tokens
 
 WORDS = "répéter déjà clé écriture façade naïve über größe prüfen nötig año señal región não ação memória журнал память задача который été où voilà".split()
 
@@ -54,6 +54,52 @@ def test_lost_characters_are_filled_by_words(restored):
     assert got.garbled and "répéter" in got.restored and "clé" in got.restored
 
 
+def test_a_model_of_any_size_gives_the_same(spark, restored):
+    _, texts, got = restored
+    rows = spark.createDataFrame([(i, t) for i, t in texts.items()], "id int, text string")
+    parts = {r.id: (r.garbled, r.restored) for r in restore(rows, "text", entries=0).collect()}
+    assert parts == {i: (r.garbled, r.restored) for i, r in got.items()}
+
+
+def test_bytes_that_are_left_decide():
+    counts = {"déjà": 50, "dàjé": 9, "répété": 30, "пять": 20, "мать": 90}
+    model = Model(counts, {"dé": 50}, (200, {"d": 50}, {"é": 50}))
+    assert model.fill("d\ufffdjâ") == "d\ufffdjâ"  # a character that is there is not written over
+    assert model.fill("d\ufffdj\ufffd") == "déjà" and model.fill("R\ufffdP\ufffdT\ufffd") == "RÉPÉTÉ"
+    assert model.fill("d\ufffdj\ufffd", [(0xC3, 0xA0), (-1,)]) == "dàjé"
+    text, whole, lost, left = utf8_lattice([ord("d"), 0xC3, -1, ord("j"), -1, 0xA0])
+    assert (text, whole, lost, left) == ("d\ufffdj\ufffd", 0, 2, [(0xC3, -1), (-1, 0xA0)]) and model.fill(text, left) == "déjà"
+    assert fits((0xD0, -1), "м") and not fits((0xD1, -1), "м") and fits((-1, 0xBC), "м") and fits((), "м")
+
+
+def test_planted_damage_is_restored(spark):
+    """Clean texts of the test data, wrongly read here in several ways: nearly all come back exactly, also those that lost bytes."""
+    rng = random.Random(4)
+    sf = "/root/testdata/sf0.01"
+    clean = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").filter("lang in ('de', 'fr', 'es', 'pt', 'ru')").select("text").distinct().collect() if r.text and not r.text.isascii()]
+    intact = {r.text for r in restore(spark.createDataFrame([(t,) for t in clean], "text string"), "text").filter("not garbled").collect()}
+    rows, truth = [(i, t) for i, t in enumerate(clean)], {}
+    for t in sorted(intact)[:240]:
+        kind = rng.randrange(4)
+        data = t.encode()
+        if kind == 0:
+            bad = data.decode("latin-1")
+        elif kind == 1:
+            bad = data.decode("cp1252", "replace")
+        elif kind == 2:
+            bad = data.decode("cp437")
+        else:  # one byte in twenty of the long sequences is lost
+            bad = "".join(c if c < "\x80" or rng.random() > 0.05 else "\ufffd" for c in data.decode("latin-1"))
+        truth[len(rows)] = (t, kind)
+        rows.append((len(rows), bad))
+    got = {r.id: r for r in restore(spark.createDataFrame(rows, "id int, text string"), "text").filter("id >= " + str(len(clean))).collect()}
+    for kind, share in ((0, 0.95), (1, 0.6), (2, 0.95), (3, 0.6)):
+        own = [i for i, (_, k) in truth.items() if k == kind]
+        right = sum(got[i].restored == truth[i][0] for i in own) / len(own)
+        print("kind", kind, len(own), sum(got[i].garbled for i in own) / len(own), right)
+        assert sum(got[i].garbled for i in own) >= 0.97 * len(own) and right >= share
+
+
 def test_lattices():
     assert from_utf8(to_bytes("Ã©", "latin")) == ("é", 1, 0)
     assert from_utf8(to_bytes("Ã has", "latin")) is None

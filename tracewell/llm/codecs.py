@@ -52,9 +52,22 @@ def to_bytes(text: str, wrong: str) -> list[int] | None:
     return out
 
 
-def from_utf8(data: list[int]) -> tuple[str, int, int] | None:
-    """Text, whole sequences and lost characters. A sequence may lack bytes if they were lost; None for bytes that were never UTF-8."""
+Lattice = tuple[str, int, int, list[tuple[int, ...]]]
+
+
+def fits(bytes_left: tuple[int, ...], ch: str) -> bool:
+    """Whether a character may have had these bytes: those that are left (others are -1) stand in its UTF-8 form in this order, a first one first."""
+    form = iter(ch.encode("utf-8", "replace"))
+    first = bytes_left[0] if bytes_left else -1
+    if first >= 0xC0 and next(form) != first:
+        return False
+    return all(b in form for b in bytes_left[first >= 0xC0 :] if b >= 0)
+
+
+def utf8_lattice(data: list[int]) -> Lattice | None:
+    """Text, whole sequences and lost characters, of which the bytes that are left are kept. A sequence may lack bytes if they were lost; None for bytes that were never UTF-8."""
     out, whole, lost, i, n = [], 0, 0, 0, len(data)
+    left: list[tuple[int, ...]] = []
     while i < n:
         b = data[i]
         if 0 <= b < 128:
@@ -72,7 +85,10 @@ def from_utf8(data: list[int]) -> tuple[str, int, int] | None:
                 return None
             if not out or out[-1] != LOST or b == -1:
                 out.append(LOST)
+                left.append(tuple(data[i:j]))
                 lost += 1
+            else:
+                left[-1] += tuple(data[i:j])
             i = j
             continue
         tail = data[i + 1 : i + 1 + need]
@@ -87,16 +103,23 @@ def from_utf8(data: list[int]) -> tuple[str, int, int] | None:
             whole += 1
         elif -1 in tail[:ok] or (ok < need and (need > 1 or i + 1 == n)):
             out.append(LOST)
+            left.append((b, *tail[:ok]))
             lost += 1
         else:
             return None
         i += 1 + ok
-    return "".join(out), whole, lost
+    return "".join(out), whole, lost, left
+
+
+def from_utf8(data: list[int]) -> tuple[str, int, int] | None:
+    found = utf8_lattice(data)
+    return found and found[:3]
 
 
-def from_bytes(data: list[int], true: str) -> tuple[str, int, int] | None:
+def from_bytes(data: list[int], true: str) -> Lattice | None:
+    """The text that bytes with lost ones (-1) are in an encoding; see utf8_lattice()."""
     if true == "utf_8":
-        return from_utf8(data)
+        return utf8_lattice(data)
     codec = "cp1252" if true == "latin" else true
     parts, part, lost = [], bytearray(), 0
     for b in [*data, -1]:
@@ -114,4 +137,4 @@ def from_bytes(data: list[int], true: str) -> tuple[str, int, int] | None:
             parts.append(text)
         part = bytearray()
     text = LOST.join(parts)
-    return text, 0, text.count(LOST)
+    return text, 0, text.count(LOST), [(-1,)] * text.count(LOST)

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.codecs import CHANNELS, LOST, from_bytes, to_bytes
+from tracewell.llm.codecs import CHANNELS, LOST, Lattice, fits, from_bytes, to_bytes
+from tracewell.llm.lookup import Asked, by_chunks
 from tracewell.session import pin, spread
 
 #: Costs in nats: of a stretch being garbled at all, of going on or changing in it, of a character that was lost.
@@ -31,8 +32,8 @@ LINE = 1.5
 LOST_GAIN = 7.5
 #: A single character is hardly evidence, as which one follows depends on its neighbours; it goes with a stretch but makes none.
 SINGLE = 0.05
-#: Words and pairs of characters that the model keeps, the most frequent ones.
-MODEL_WORDS, MODEL_PAIRS = 300_000, 300_000
+#: Words and pairs of characters up to which the model is broadcast whole; beyond, each chunk of texts gets the part that it asks for.
+MODEL_ENTRIES = 600_000
 TOKEN_CACHE = 200_000
 
 #: A token ends at white space; a hard space is part of it only where a byte of a wrongly read sequence may stand.
@@ -64,28 +65,29 @@ def tokens(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+#: Occurrences of all words; of each first and each second character of a pair. No larger than there are characters.
+Totals = tuple[int, dict[str, int], dict[str, int]]
+
+
+def shapes(words: dict[str, int]) -> dict[str, list[str]]:
+    """The words of each shape, a word with its characters beyond ASCII left open, the most frequent first."""
+    found: dict[str, list[str]] = {}
+    for w, c in sorted(words.items(), key=lambda x: (-x[1], x[0])):
+        if c > 1 and LOST not in w:
+            found.setdefault(FOREIGN.sub(LOST, w), []).append(w)
+    return found
+
+
 class Model:
-    """Corpus frequencies of words with characters beyond ASCII, and of pairs of characters in them for words unseen."""
+    """Corpus frequencies of words with characters beyond ASCII, and of pairs of characters in them for words unseen; and their totals (see totals())."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[str, int]) -> None:
+    def __init__(self, words: dict[str, int], pairs: dict[str, int], totals: Totals, gaps: dict[str, list[str]] | None = None) -> None:
         self.words, self.pairs = words, pairs
-        self.log_total = math.log(sum(words.values()) + 1)
-        firsts: dict[str, int] = {}
-        for p, c in pairs.items():
-            firsts[p[0]] = firsts.get(p[0], 0) + c
-        self.firsts = firsts
-        seen: dict[str, int] = {}
-        for p, c in pairs.items():
-            seen[p[1]] = seen.get(p[1], 0) + c
+        total, self.firsts, seen = totals
+        self.log_total = math.log(total + 1)
         self.common = {ch: math.log(c + 0.5) for ch, c in seen.items() if ch > "\x7f"}
-        self.characters = max(1, len({p[1] for p in pairs}))
-        self.gaps: dict[str, tuple[int, str]] = {}
-        for w, c in words.items():
-            if LOST in w or c < 2:
-                continue
-            gap = FOREIGN.sub(LOST, w)
-            if c > self.gaps.get(gap, (0, ""))[0]:
-                self.gaps[gap] = (c, w)
+        self.characters = max(1, len(seen))
+        self.gaps = shapes(words) if gaps is None else gaps
         self.cache: dict[str, list[tuple[int, float, str]]] = {}
 
     def spelled(self, word: str) -> float:
@@ -118,18 +120,26 @@ class Model:
         found = [self.common.get(ch, -1.0) for ch in token.lower() if ch > "\x7f" and ch != LOST]
         return sum(found) / len(found) if found else 10.0
 
-    def fill(self, token: str) -> str:
-        """Lost characters put back if the most frequent word that fits tells them."""
+    def fill(self, token: str, left: list[tuple[int, ...]] | None = None) -> str:
+        """Lost characters put back by the most frequent word that has what is there: all other characters, and the bytes that are left of the lost ones."""
         word = normal(token)
         gap = FOREIGN.sub(LOST, word)
-        best = self.gaps.get(gap) if len(gap) - gap.count(LOST) > 1 else None  # else any character fits
-        if best is None or len(best[1]) != len(word):
-            return token
         at = token.lower().find(word)
-        if at < 0:
+        if len(gap) - gap.count(LOST) < 2 or at < 0 or len(token.lower()) != len(token):  # else any character fits
             return token
-        out = [b if a == LOST else a for a, b in zip(token[at : at + len(word)], best[1], strict=True)]
-        return token[:at] + "".join(out) + token[at + len(word) :]
+        marks = iter(left if left is not None and len(left) == word.count(LOST) else [()] * word.count(LOST))
+        places = [(i, next(marks)) for i, ch in enumerate(word) if ch == LOST]
+        for known in self.gaps.get(gap, ()):
+            if len(known) != len(word) or any(a not in (b, LOST) for a, b in zip(word, known, strict=True)):
+                continue
+            out = list(token[at : at + len(word)])
+            for i, bytes_left in places:
+                # a capital where the bytes say so, or where the word's other letters are
+                forms = [known[i].upper(), known[i]] if word != "".join(out) and "".join(out).isupper() else [known[i], known[i].upper()]
+                out[i] = next((f for f in forms if len(f) == 1 and fits(bytes_left, f)), "")
+            if all(out):
+                return token[:at] + "".join(out) + token[at + len(word) :]
+        return token
 
     def readings(self, token: str) -> list[tuple[int, float, str]]:
         """(channel, gain over the token as it stands, restored) for each channel that can give the token; -1 is the token itself."""
@@ -146,7 +156,7 @@ class Model:
             again = from_bytes(data, true)
             if again is None or again[0] == token:
                 continue
-            text, whole, lost = again
+            text, whole, lost, left = again
             if true == "utf_8" and not whole and not lost:
                 continue
             if true != "utf_8" and self.rarity(text) < rarity - 3.0:
@@ -158,9 +168,9 @@ class Model:
                 more = from_utf8_again(data) if data is not None and not text.isascii() else None
                 if more is None or not more[1]:
                     break
-                text, whole, lost = more[0], whole + more[1], more[2]
+                text, whole, lost, left = more[0], whole + more[1], more[2], more[3]
             if LOST in text:
-                text = self.fill(text)
+                text = self.fill(text, left)
             if text == token:
                 continue
             found.append((c, self.gain(word, known, spelled, text, whole if true == "utf_8" else 0) + SEQUENCE * whole - LOST_COST * text.count(LOST), text))
@@ -210,7 +220,7 @@ class Model:
         return score, text
 
 
-def from_utf8_again(data: list[int]) -> tuple[str, int, int] | None:
+def from_utf8_again(data: list[int]) -> Lattice | None:
     again = from_bytes(data, "utf_8")
     return again if again and again[1] else None
 
@@ -243,30 +253,84 @@ def _counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "kind int, item string, n bigint").groupBy("kind", "item").agg(F.sum("n").alias("n"))
 
 
-def train(df: DataFrame, text: str, words: int = MODEL_WORDS, pairs: int = MODEL_PAIRS) -> tuple[dict[str, int], dict[str, int]]:
-    """Word and pair counts of the whole corpus; the model keeps the most frequent ones, of fixed number, whatever the corpus holds."""
-    counts = pin(_counts(df, text).filter("n > 1"), "garbled-counts")
-    best = [counts.filter(F.col("kind") == k).orderBy(F.desc("n"), "item").limit(n).select("item", "n").collect() for k, n in ((0, words), (1, pairs))]
-    return dict(map(tuple, best[0])), dict(map(tuple, best[1]))
+def train(df: DataFrame, text: str) -> DataFrame:
+    """(kind, item, n): words (0) and pairs of characters (1) of the whole corpus that occur more than once."""
+    return pin(_counts(df, text).filter("n > 1"), "garbled-counts")
 
 
-def restore(df: DataFrame, text: str, model: tuple[dict[str, int], dict[str, int]] | None = None) -> DataFrame:
+def totals(counts: DataFrame) -> Totals:
+    """What the model knows of all words and pairs together."""
+    pairs = counts.filter("kind = 1")
+
+    def sums(place: int) -> dict[str, int]:
+        return dict(map(tuple, pairs.groupBy(F.substring("item", place, 1)).agg(F.sum("n")).collect()))
+
+    return counts.filter("kind = 0").agg(F.sum("n")).first()[0] or 0, sums(1), sums(2)
+
+
+def restore(df: DataFrame, text: str, counts: DataFrame | None = None, entries: int = MODEL_ENTRIES) -> DataFrame:
     """Adds `garbled` (whether text shows characters other than those written) and `restored` (the text with them put back).
 
-    The model is trained on all of df's texts unless one is given. Null, empty and ASCII texts are not garbled; restored
-    is then the text itself. Characters that nothing tells stay as they are. Rows keep their number, other columns pass
-    through; ones named garbled or restored are replaced.
+    The model is trained on all of df's texts unless counts of others (see train()) are given. If it has more than so
+    many entries, it is not broadcast: chunks of texts get what they ask for in a join, with the same results. Null,
+    empty and ASCII texts are not garbled; restored is then the text itself. Characters that nothing tells stay as they
+    are. Rows keep their number, other columns pass through; ones named garbled or restored are replaced.
     """
     kept = spread(df.drop("garbled", "restored"))
-    shared = df.sparkSession.sparkContext.broadcast(model or train(kept, text))
+    counts = train(kept, text) if counts is None else counts
+    known = totals(counts)
     schema = T.StructType([*kept.schema, T.StructField("garbled", T.BooleanType()), T.StructField("restored", T.StringType())])
     place = kept.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Model(*shared.value)
-        for batch in batches:
-            found = [decoder.decode(t) if t else (0.0, t) for t in batch.column(place).to_pylist()]
-            columns = [pa.array([g > 0 for g, _ in found], pa.bool_()), pa.array([t for _, t in found], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "garbled", "restored"])
-
-    return kept.mapInArrow(run, schema)
+    def decoded(decoder: Model, columns: list[pa.Array], texts: list[str | None]) -> list[pa.Array]:
+        found = [decoder.decode(t) if t else (0.0, t) for t in texts]
+        return [*columns, pa.array([g > 0 for g, _ in found], pa.bool_()), pa.array([t for _, t in found], pa.string())]
+
+    if counts.count() <= entries:
+        tables = [dict(map(tuple, counts.filter(F.col("kind") == k).select("item", "n").collect())) for k in (0, 1)]
+        shared = df.sparkSession.sparkContext.broadcast((*tables, known))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            decoder = Model(*shared.value)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(decoded(decoder, batch.columns, batch.column(place).to_pylist()), names=schema.names)
+
+        return kept.mapInArrow(run, schema)
+
+    shared = df.sparkSession.sparkContext.broadcast(known)
+
+    def asks():
+        words, pairs, gaps = Asked(0), Asked(0), Asked(())
+        model = Model(words, pairs, shared.value, gaps)
+        told: dict[str, set[str]] = {}
+
+        def of(t: str) -> set[str]:
+            out: set[str] = set()
+            for *_, token in tokens(t):
+                if token not in told:
+                    for a in (words, pairs, gaps):
+                        a.keys_asked.clear()
+                    model.readings(token)
+                    if len(told) > TOKEN_CACHE:
+                        told.clear()
+                        model.cache.clear()
+                    told[token] = {f"{k}{x}" for k, a in enumerate((words, pairs, gaps)) for x in a.keys_asked}
+                out |= told[token]
+            return out
+
+        return of
+
+    shape = F.regexp_replace("item", r"[^\x00-\x7f]", LOST)
+    table = counts.select(F.concat(F.col("kind").cast("string"), "item").alias("ask"), "item", F.col("n").alias("a"), F.col("kind").cast("bigint").alias("b"))
+    words = counts.filter("kind = 0").filter(~F.contains("item", F.lit(LOST)))
+    table = table.unionByName(words.select(F.concat(F.lit("2"), shape).alias("ask"), "item", F.col("n").alias("a"), F.lit(0).cast("bigint").alias("b")))
+
+    def work(rows: pa.Table, found: list[tuple]) -> pa.Table:
+        tables: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        for item, n, kind, _ in found:
+            tables[kind][item] = n
+        rows = rows.combine_chunks()
+        columns = decoded(Model(*tables, shared.value), [c.combine_chunks() for c in rows.columns], rows.column(place).to_pylist())
+        return pa.table(columns, names=schema.names)
+
+    return by_chunks(kept, text, asks, table, work, schema)
