@@ -1,11 +1,12 @@
 """Time texts against instants worked out by hand or by zoneinfo."""
 
-from datetime import datetime
+from datetime import UTC, datetime
 from zoneinfo import ZoneInfo
 
 import pytest
+from pyspark.sql import functions as F
 
-from tracewell.operators.timestamps import candidate_zones, estimate_zones, normalise_columns, parse, to_utc
+from tracewell.operators.timestamps import candidate_zones, estimate_zones, normalise_columns, order_evidence, parse, to_utc, zone_classes
 from tracewell.plans.timestamps import p1_found
 from tracewell.tables import table
 
@@ -88,6 +89,38 @@ def test_zones_are_estimated_without_the_registry(spark):
     assert all(r.zone == declared[r.machine_id] for r in with_registry)
 
 
+def same_history(a, b):
+    days = [datetime(y, m, 15, tzinfo=UTC) for y in (2023, 2024, 2025) for m in range(1, 13)]
+    return all(d.astimezone(ZoneInfo(a)).utcoffset() == d.astimezone(ZoneInfo(b)).utcoffset() for d in days)
+
+
+def test_a_wrong_registry_is_corrected(spark):
+    """Eight machines are registered in a zone they are not in: all evidence together finds theirs, out of all zones there are, and leaves the others."""
+    sf = "/root/testdata/sf0.1"
+    known, docs = table(spark, sf, "machines"), table(spark, sf, "session_documents")
+    declared = {r.machine_id: r.tz_name for r in known.collect()}
+    moved = sorted(declared)[:8]
+    wrong = F.when(F.col("machine_id").isin(moved), F.when(F.col("tz_name") == "Asia/Tokyo", "Europe/Berlin").otherwise("Asia/Tokyo")).otherwise(F.col("tz_name"))
+    ordered = [order_evidence(table(spark, sf, "session_summary"), "first_timestamp", "last_timestamp", "machine_id")]
+    found = estimate_zones(docs, "created_at", "machine_id", "file_mtime", known.withColumn("tz_name", wrong), ordered=ordered).collect()
+    assert all(same_history(r.zone, declared[r.machine_id]) for r in found) and len(found) == len(declared)
+    blind = known.selectExpr("machine_id", "cast(null as string) tz_name")
+    found = estimate_zones(docs, "created_at", "machine_id", "file_mtime", blind, ordered=ordered).collect()
+    assert sum(same_history(r.zone, declared[r.machine_id]) for r in found) >= 0.9 * len(found)
+
+
+def test_order_of_two_times_is_evidence(spark):
+    rows = [("m", "2023-01-01 10:00:00", "2023-01-01T08:00:00Z"), ("m", "2023-01-01T08:00:00Z", "2023-01-01 10:00:00"), ("m", "2023-01-01 10:00:00", "2023-01-01 11:00:00"), ("m", None, "2023-01-01T08:00:00Z"), (None, "2023-01-01 10:00:00", "2023-01-01T08:00:00Z")]
+    got = order_evidence(spark.createDataFrame(rows, "m string, a string, b string"), "a", "b", "m")
+    assert sorted((r._us - us(2023, 1, 1), r._in - us(2023, 1, 1), r._bound) for r in got.collect()) == [(36_000_000_000, 28_800_000_000, -1), (36_000_000_000, 28_800_000_000, 1)]
+    assert order_evidence(spark.createDataFrame([], "m string, a string, b string"), "a", "b", "m").count() == 0
+
+
+def test_zones_of_one_history_are_one(spark):
+    found = zone_classes(2023, 2024, ["Europe/Berlin", "Europe/Paris"])
+    assert {"Europe/Berlin", "Europe/Paris"} <= set(found) and "Europe/Vienna" not in found and 40 < len(found) < 150
+
+
 def test_repeated_rows_and_null_keys_give_one_row_each(spark, zones):
     rows = spark.createDataFrame([("a", "2023-01-09T06:17:37Z", "m1")] * 3 + [(None, "2023-01-09T06:17:37Z", "m1"), ("b", None, None)], "k string, t string, machine_id string")
     got = normalise_columns([("x", rows, "k", "t")], zones.withColumnRenamed("machine", "machine_id")).collect()

@@ -115,6 +115,26 @@ def candidate_zones(registry: DataFrame, zone: str = "tz_name") -> list[str]:
     return sorted(r[0] for r in registry.select(zone).distinct().collect() if r[0] in known)
 
 
+def zone_classes(first: int, last: int, preferred: list[str]) -> list[str]:
+    """One zone for each history of offsets that some zone has between two years; of zones that share one a preferred one, then the first by name."""
+    days = [datetime(y, m, d, tzinfo=UTC) for y in range(first, last + 1) for m in range(1, 13) for d in (3, 12, 21, 29)[: 4 if m != 2 else 3]]
+    chosen: dict[tuple, str] = {}
+    for name in [*preferred, *known_regions()]:
+        zone = zoneinfo.ZoneInfo(name)
+        chosen.setdefault(tuple(d.astimezone(zone).utcoffset() for d in days), name)
+    return sorted({*chosen.values(), *preferred})
+
+
+def order_evidence(df: DataFrame, first: str, last: str, machine: str) -> DataFrame:
+    """What two times of one record tell of a machine's zone, if one has a zone and the other has not: (_m, _us, _in, _bound), local and known microseconds, and whether the known one must be later (1) or earlier (-1)."""
+    rows = parse(df.select(F.col(machine).alias("_m"), F.col(first).alias("_first"), F.col(last).alias("_last")), "_first")
+    rows = rows.select("_m", "_last", F.col("_us").alias("_a"), F.col("_offset").alias("_ao"), (F.col("_region").isNull() & F.col("_abbreviation").isNull()).alias("_ak"))
+    rows = parse(rows, "_last").filter("_ak and _region is null and _abbreviation is null and _m is not null and _a is not null and _us is not null")
+    early = F.when(F.col("_ao").isNull() & F.col("_offset").isNotNull(), F.struct(F.col("_a").alias("_us"), (F.col("_us") - F.col("_offset") * 1000000).alias("_in"), F.lit(1).alias("_bound")))
+    late = F.when(F.col("_ao").isNotNull() & F.col("_offset").isNull(), F.struct(F.col("_us").alias("_us"), (F.col("_a") - F.col("_ao") * 1000000).alias("_in"), F.lit(-1).alias("_bound")))
+    return rows.select("_m", F.coalesce(early, late).alias("_e")).filter("_e is not null").select("_m", "_e.*")
+
+
 def estimate_zones(
     df: DataFrame,
     text: str,
@@ -122,46 +142,65 @@ def estimate_zones(
     ingested: str,
     registry: DataFrame,
     zones: list[str] | None = None,
-    declared_weight: float = 0.05,
+    declared_weight: float = 0.15,
     lag: tuple[int, int] | None = None,
+    ordered: list[DataFrame] | None = None,
 ) -> DataFrame:
     """The zone of each machine whose offset history has the fewest violations: machine, zone, declared, n_evidence, n_violations.
 
     Evidence are the machine's time texts. One with an offset violates a zone that had another offset at that instant. One
     without is converted in each candidate zone and violates those in which it would have been ingested (epoch seconds)
     earlier or later after its writing than texts with zones are (`lag`: from their 1st and 99th percentile, if not
-    given). A zone that the registry declares (machine_id, tz_name) is one more witness: another must have fewer
-    violations by more than declared_weight of the evidence, and by more than 3. A machine in neither the registry nor
-    the evidence has no row; equal zones go by name.
-
-    One aggregation with a map-side part: a machine with a third of all rows is no single task's.
+    given); `ordered` (of order_evidence()) are local times that violate zones in which they would come on the wrong side
+    of a known instant. Candidates are one zone for each history of offsets in the years of the evidence, all zones of
+    the registry among them. A zone that the registry declares (machine_id, tz_name) is one more witness: another must
+    have fewer violations by more than declared_weight of the evidence, and by more than 3. A machine in neither the
+    registry nor the evidence has no row; equal zones go by name.
+
+    Evidence is counted by machine, hour and five minutes of lag before it meets the candidates, so what is multiplied
+    by zones grows with the hours that the texts span and not with their number; and only machines whose declared zone has
+    more violations than that doubt, or which have none declared, meet more than the declared one.
     """
     known = registry.select(F.col("machine_id").alias("_m"), F.col("tz_name").alias("declared")).dropDuplicates(["_m"])
-    zones = candidate_zones(registry) if zones is None else zones
     rows = parse(df.select(F.col(text).alias("_text"), F.col(machine).alias("_m"), F.col(ingested).alias("_in")), "_text")
     rows = rows.filter(F.col("_m").isNotNull() & F.col("_us").isNotNull() & F.col("_region").isNull() & F.col("_abbreviation").isNull())
-    shown = F.col("_offset")
+    rows = rows.select("_m", "_us", F.col("_offset").alias("_shown"), (F.col("_in") * 1000000).alias("_in"), F.lit(0).alias("_bound"))
+    for more in ordered or []:
+        rows = rows.unionByName(more.select("_m", "_us", F.lit(None).cast("bigint").alias("_shown"), "_in", "_bound"))
+    hour, step = 3_600_000_000, 300_000_000
+    counted = rows.groupBy("_m", "_shown", "_bound", F.floor(F.col("_us") / hour).alias("_hour"), F.floor((F.col("_in") - F.col("_us")) / step).alias("_lag"))
+    counted = pin(counted.agg(F.count(F.lit(1)).alias("_w")), "zone-evidence")
+    shown, local = F.col("_shown"), F.col("_hour") * hour + hour // 2
+    span = counted.agg(F.min(F.year(_local(local))), F.max(F.year(_local(local)))).first()
     if lag is None:
-        behind = F.when(shown.isNotNull(), F.col("_in") - (F.col("_us") / 1000000 - shown))
-        found = rows.agg(F.percentile_approx(behind, [0.01, 0.99], 1000)).first()[0] or [0, 0]
+        behind = F.when(shown.isNotNull(), (F.col("_lag") * step + step // 2) / 1000000 + shown)
+        found = counted.agg(F.percentile(behind, [0.01, 0.99], F.col("_w"))).first()[0] or [0, 0]
         lag = (min(0, int(found[0])), int(found[1]) + 1)
-    rows = rows.withColumn("_z", F.explode(F.array(*map(F.lit, zones))))
-    instant = F.col("_us") - shown * 1000000
-    offset = (_micros(F.from_utc_timestamp(_local(instant), F.col("_z"))) - instant) / 1000000
-    behind = F.col("_in") - in_zone(F.col("_us"), F.col("_z")) / 1000000
-    broken = F.when(shown.isNull(), ~behind.between(*lag)).otherwise((shown != 0) & (offset != shown))
-    counted = rows.groupBy("_m", "_z").agg(F.count(F.lit(1)).alias("_n"), F.count_if(broken).alias("n"))
-    counted = counted.groupBy("_m").agg(F.max("_n").alias("n_evidence"), F.collect_list(F.struct("n", F.col("_z").alias("zone"))).alias("_costs"))
-    both = counted.join(known, "_m", "full")
-    costs = F.coalesce("_costs", F.array(*[F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(z).alias("zone")) for z in zones]))
-    both = both.withColumn("_costs", costs).withColumn("_least", F.array_min("_costs"))
-    declared = F.get(F.filter("_costs", lambda c: c["zone"] == F.col("declared")), F.lit(0))
-    doubt = F.greatest(F.lit(3), F.coalesce(F.col("n_evidence"), F.lit(0)) * declared_weight)
-    best = F.when(declared.isNotNull() & (declared["n"] <= F.col("_least")["n"] + doubt), declared).when(F.col("n_evidence").isNotNull(), F.col("_least"))
-    both = both.withColumn("_best", best)
-    return both.select(
-        F.col("_m").alias(machine), F.col("_best")["zone"].alias("zone"), "declared", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.col("_best")["n"].alias("n_violations")
-    )
+    if zones is None:
+        zones = zone_classes(span[0] or 2020, span[1] or 2020, candidate_zones(registry))
+
+    def broken(zone: Column) -> Column:
+        instant = local - shown * 1000000
+        offset = (_micros(F.from_utc_timestamp(_local(instant), zone)) - instant) / 1000000
+        behind = (F.col("_lag") * step + step // 2 + local - in_zone(local, zone)) / 1000000
+        wrong = F.when(F.col("_bound") == 0, ~behind.between(lag[0] - 300, lag[1] + 300)).otherwise(behind * F.col("_bound") < -300)
+        return F.coalesce(F.when(shown.isNull(), wrong).otherwise((shown != 0) & (offset != shown)), F.lit(False))
+
+    def violations(rows: DataFrame, zone: str, *by: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.sum("_w").alias("n_evidence"), F.sum(F.when(broken(F.col(zone)), F.col("_w")).otherwise(0)).alias("n"))
+
+    there = known.filter(F.col("declared").isin(known_regions()))
+    sure = violations(counted.join(there, "_m"), "declared", "_m", "declared").withColumn("_doubt", F.greatest(F.lit(3), F.col("n_evidence") * declared_weight))
+    # a declared zone with so few violations stays, whatever the others have
+    kept = pin(sure, "declared-zones")
+    open_rows = counted.join(kept.filter("n <= _doubt").select("_m"), "_m", "left_anti").withColumn("_z", F.explode(F.array(*map(F.lit, zones))))
+    least = violations(open_rows, "_z", "_m", "_z").groupBy("_m").agg(F.max("n_evidence").alias("_all"), F.min(F.struct("n", F.col("_z").alias("zone"))).alias("_least"))
+    both = known.join(kept.drop("declared"), "_m", "full").join(least, "_m", "full")
+    stays = F.col("n").isNotNull() & (F.col("_least").isNull() | (F.col("n") <= F.col("_least")["n"] + F.col("_doubt")))
+    quiet = F.col("_least").isNull() & F.col("n").isNull()  # no evidence: what is declared, if there is such a zone
+    zone = F.when(stays | quiet, F.when(F.col("declared").isin(known_regions()), F.col("declared"))).otherwise(F.col("_least")["zone"])
+    n = F.when(stays, F.col("n")).when(quiet, F.when(zone.isNotNull(), 0)).otherwise(F.col("_least")["n"])
+    return both.select(F.col("_m").alias(machine), zone.alias("zone"), "declared", F.coalesce("n_evidence", "_all", F.lit(0)).alias("n_evidence"), n.alias("n_violations"))
 
 
 def to_utc(df: DataFrame, text: str, machine: str, zones: DataFrame, out: str = "utc_us") -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.operators.timestamps import estimate_zones, normalise_columns
+from tracewell.operators.timestamps import estimate_zones, normalise_columns, order_evidence
 from tracewell.tables import table
 
 
 def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "session_documents")
-    return estimate_zones(docs, "created_at", "machine_id", "file_mtime", table(spark, sf_dir, "machines"))
+    docs, summary = table(spark, sf_dir, "session_documents"), table(spark, sf_dir, "session_summary")
+    ordered = [order_evidence(summary, "first_timestamp", "last_timestamp", "machine_id")]
+    return estimate_zones(docs, "created_at", "machine_id", "file_mtime", table(spark, sf_dir, "machines"), ordered=ordered)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
