@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.session import pin
@@ -31,9 +31,19 @@ def _rows(df: DataFrame, key: str, source: str, content: str) -> DataFrame:
 
 
 def number_documents(df: DataFrame, key: str, source: str, content: str) -> DataFrame:
-    """Numbers documents densely enough for bitmaps: a document gets the place of its first row in the scan. Written once, as later steps must see the same numbers."""
-    rows = _rows(df, key, source, content).drop("_content").withColumn("_row", F.monotonically_increasing_id())
-    return pin(rows.groupBy("_key", "_src").agg(F.min("_row").alias("_doc")), "line-documents")
+    """Numbers each source's documents from 0 without gaps: _key, _src, _doc. Written once, as later steps must see the same numbers.
+
+    Documents are numbered within hashed parts of their source, and each part begins where the parts before it end, so
+    that a source with a third of all documents is many tasks.
+    """
+    parts = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    docs = _rows(df, key, source, content).select("_key", "_src").distinct()
+    docs = docs.withColumn("_part", F.pmod(F.xxhash64("_key"), F.lit(parts)).cast("int"))
+    docs = pin(docs.withColumn("_n", F.row_number().over(Window.partitionBy("_src", "_part").orderBy("_key"))), "line-parts")
+    sizes = docs.groupBy("_src", "_part").agg(F.count(F.lit(1)).alias("_size"))  # a row for each part of a source
+    before = F.sum("_size").over(Window.partitionBy("_src").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_src", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return pin(docs.join(sizes, ["_src", "_part"]).select("_key", "_src", (F.col("_before") + F.col("_n") - 1).alias("_doc")), "line-documents")
 
 
 def repeated_lines(
@@ -45,29 +55,35 @@ def repeated_lines(
     min_share: float = MIN_SHARE,
     min_documents: int = MIN_DOCUMENTS,
 ) -> DataFrame:
-    """The lines repeated excessively within a source, as bitmaps: _src, _k1, _k2, _word, _bits, n_docs, n_forms.
-
-    Each written form of a line has a sparse bitmap of its documents, kept as its non-zero words of 64 bits. The bitmaps
-    of forms with the same letters are united, and the line stays if the united bitmap's exact cardinality reaches
-    min_documents and min_share of the source's documents. Every step is an aggregation with a map-side part on keys
-    that hold the word's number, so that neither a line that stands in a third of all documents nor a source that has a
-    third of all documents meets in one task. Setting a bit twice changes nothing: repeated rows count once.
+    """The lines repeated excessively within a source, as bitmaps: _src, _k1, _k2, _word, _bits, n_docs.
+
+    Each written form of a line has a bitmap of its source's documents, compressed to its non-zero words of 64 bits. The
+    bitmaps of forms with the same letters are united, and the line stays if the united bitmap's exact cardinality reaches
+    min_documents and min_share of the source's documents. Only lines that stand in so many rows, which is as many as
+    they have documents or more, get bitmaps; contents stay where they are read. Every step is an aggregation with a
+    map-side part on keys that hold the word's number, so that neither a line that stands in a third of all documents nor
+    a source that has a third of all documents meets in one task. Setting a bit twice changes nothing: repeated rows
+    count once.
     """
-    docs = _rows(df, key, source, content).join(numbers, ["_key", "_src"]).select("_src", "_doc", "_content")
+    line = ["_src", "_k1", "_k2"]
+    lines = _lines(_rows(df, key, source, content), "_content")
+    totals = numbers.groupBy("_src").agg(F.count(F.lit(1)).alias("_total"))
+    often = lines.groupBy(*line).agg(F.count(F.lit(1)).alias("_times")).filter(F.col("_times") >= min_documents).join(totals, "_src")
+    often = pin(often.filter(F.col("_times") >= F.col("_total") * min_share).select(*line), "line-candidates")
     bit = F.expr("shiftleft(1L, cast(_doc & 63 as int))")
     forms = (
-        _lines(docs, "_content")
-        .select("_src", "_k1", "_k2", F.xxhash64("_line").alias("_form"), F.shiftright("_doc", 6).alias("_word"), bit.alias("_bits"))
-        .groupBy("_src", "_k1", "_k2", "_form", "_word")
+        lines.join(often, line)
+        .select("_key", *line, F.xxhash64("_line").alias("_form"))
+        .join(numbers, ["_key", "_src"])
+        .select(*line, "_form", F.shiftright("_doc", 6).alias("_word"), bit.alias("_bits"))
+        .groupBy(*line, "_form", "_word")
         .agg(F.bit_or("_bits").alias("_bits"))
     )
-    line = ["_src", "_k1", "_k2"]
-    united = forms.groupBy(*line, "_word").agg(F.bit_or("_bits").alias("_bits"), F.count(F.lit(1)).alias("_forms"))
-    sizes = united.groupBy(*line).agg(F.sum(F.bit_count("_bits")).alias("n_docs"), F.max("_forms").alias("n_forms"))
-    totals = numbers.groupBy("_src").agg(F.count(F.lit(1)).alias("_total"))
+    united = forms.groupBy(*line, "_word").agg(F.bit_or("_bits").alias("_bits"))
+    sizes = united.groupBy(*line).agg(F.sum(F.bit_count("_bits")).alias("n_docs"))
     heavy = sizes.filter(F.col("n_docs") >= min_documents).join(totals, "_src")
     heavy = heavy.filter(F.col("n_docs") >= F.col("_total") * min_share).drop("_total")
-    return pin(united.drop("_forms").join(heavy, line), "line-bitmaps")
+    return pin(united.join(heavy, line), "line-bitmaps")
 
 
 def find_repeated(df: DataFrame, key: str, source: str, content: str, min_share: float = MIN_SHARE, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
