@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import compact, jaccard, keywords
 from tracewell.functions.vocabulary import STOP_WORDS
+from tracewell.operators.topk import carried
 
 # Shares of common keywords, seconds that a topic lasts, words that tell what a message is.
 SAME, NEW, LASTS = 0.4, 0.25, 20 * 60
@@ -30,9 +31,8 @@ def classify(messages: DataFrame, key: str, time: str, message: str, stop: Seque
     """
     rows = messages.withColumn("keywords", keywords(F.coalesce(F.col(message), F.lit("")), stop))
     rows = rows.withColumn("_trivial", trivial(F.col(message), F.col("keywords")))
-    window = Window.partitionBy(key).orderBy(time, message).rowsBetween(Window.unboundedPreceding, -1)
     said = F.when(~F.col("_trivial"), F.struct(F.col(time).alias("t"), F.col("keywords").alias("k")))
-    rows = rows.withColumn("_state", F.last(said, ignorenulls=True).over(window))
+    rows = carried(rows, key, [time, message], said, "_state")
     overlap = F.when(F.col("_state").isNotNull(), jaccard(F.col("keywords"), F.col("_state.k"))).otherwise(0.0)
     recent = F.coalesce((F.col(time) - F.col("_state.t")) < LASTS, F.lit(False))
     text = F.lower(compact(F.coalesce(F.col(message), F.lit(""))))

@@ -9,6 +9,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -232,12 +233,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     found = None
     kind = vectors.schema[key].dataType.simpleString()
     for block in blocks:
-        part = _nearest_block(vectors.filter(F.col(vector).isNotNull()).select(key, vector), block.collect(), kind, k)
+        part, shared = _nearest_block(vectors.filter(F.col(vector).isNotNull()).select(key, vector), block.collect(), kind, k)
+        if len(blocks) > 1:  # a block's vectors are let go of before the next ones come
+            part = pin(part, "nearest")
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     return top_k(found.withColumn("score", F.round("score", 9)), ["query"], [F.desc("score"), F.col("key")], k)
 
 
-def _nearest_block(vectors: DataFrame, block: list, kind: str, k: int) -> DataFrame:
+def _nearest_block(vectors: DataFrame, block: list, kind: str, k: int) -> tuple[DataFrame, Broadcast]:
     keys = [r[0] for r in block]
     shared = vectors.sparkSession.sparkContext.broadcast((keys, [np.asarray(r[1], np.float64) for r in block]))
 
@@ -257,11 +261,9 @@ def _nearest_block(vectors: DataFrame, block: list, kind: str, k: int) -> DataFr
                 which = [i for i, q in enumerate(wanted) if len(q) == dim]
                 q = np.stack([wanted[i] for i in which])
                 scores = q @ m.T / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None, :] + 1e-10)
-                top = np.argsort(-scores, axis=1, kind="stable")[:, : k + 8] if len(at) > k + 8 else np.broadcast_to(np.arange(len(at)), scores.shape)
+                least = np.partition(scores, len(at) - k - 8, axis=1)[:, len(at) - k - 8] if len(at) > k + 8 else np.full(len(which), -np.inf)
                 for row, i in enumerate(which):
-                    s = scores[row, top[row]]
-                    least = scores[row, top[row][-1]]
-                    chosen = top[row] if len(at) <= k + 8 else np.flatnonzero(scores[row] >= least)  # with all ties
+                    chosen = np.flatnonzero(scores[row] >= least[row])  # with all ties
                     s = scores[row, chosen]
                     good = s > 0
                     out_q += [names[i]] * int(good.sum())
@@ -272,7 +274,7 @@ def _nearest_block(vectors: DataFrame, block: list, kind: str, k: int) -> DataFr
                 [pa.array(out_q, own.type), own.take(index), pa.array(np.concatenate(out_s) if out_s else np.zeros(0))], names=["query", "key", "score"]
             )
 
-    return vectors.mapInArrow(run, f"query {kind}, key {kind}, score double")
+    return vectors.mapInArrow(run, f"query {kind}, key {kind}, score double"), shared
 
 
 def fuse(one: DataFrame, two: DataFrame, k: int = 10, rrf_k: int = RRF_K) -> DataFrame:

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.topk import top_k
+from tracewell.operators.topk import carried, top_k
 
 
 def drop_repeats(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Rows whose value differs from that of the row before in their session."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
-    first = F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1
-    return rows.withColumn("_keep", first | ~before.eqNullSafe(F.col(value))).filter("_keep").drop("_keep")
+    found = carried(rows, key, order, F.struct(F.col(value).alias("v")), "_before")
+    return found.filter(F.col("_before").isNull() | ~F.col("_before.v").eqNullSafe(F.col(value))).drop("_before")
 
 
 def sessions(rows: DataFrame, key: str, time: str, gap: str, least: int = 1) -> DataFrame:

@@ -52,3 +52,20 @@ def positions(df: DataFrame, order: Sequence[str], name: str = "position") -> Da
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     row = F.col("_row") - F.shiftleft(F.col("_range").cast("bigint"), 33)  # the lower 33 bits count within the range
     return placed.join(F.broadcast(offsets.select("_range", "_before")), "_range").withColumn(name, F.col("_before") + row + 1).drop("_range", "_row", "_before")
+
+
+def carried(df: DataFrame, key: str, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Adds the last value that is not null among the rows before a row in its key's order, without one task seeing all rows of a key.
+
+    Rows are sorted into ranges; within a range a window looks back, and what a key's earlier ranges end with, one row for
+    each range and key, is carried over. The sorted rows are written once, as both must see the same ranges.
+    """
+    sorted_rows = df.withColumn("_value", value).repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    placed = pin(sorted_rows.withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "carried")
+    before = Window.partitionBy("_range", key).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    ends = placed.groupBy("_range", key).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_row"))).alias("_end"))
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col("_range"), F.col(key).alias("_key"), F.last("_end", ignorenulls=True).over(earlier).alias("_carried")).filter("_carried is not null")
+    found = placed.withColumn(name, F.last("_value", ignorenulls=True).over(before)).withColumnRenamed("_range", "_at")
+    found = found.join(ends, (F.col("_at") == F.col("_range")) & F.col(key).eqNullSafe(F.col("_key")), "left")
+    return found.withColumn(name, F.coalesce(name, "_carried")).drop("_value", "_at", "_range", "_row", "_key", "_carried")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import compact_snippet, fingerprint, is_noise, jaccard, normal_tags, path_only, redact_secrets, safe_name, strip_private
+from tracewell.functions.text import compact_snippet, fingerprint, is_noise, normal_tags, path_only, redact_secrets, safe_name, strip_private
 from tracewell.functions.vocabulary import SECRET_MARKS, SECRETS
 from tracewell.operators import memory, scan, sessions
 from tracewell.plans.base import DOCS, OBS, documents, observations
@@ -116,11 +116,26 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir, fingerprint(F.col("source_type"), F.col("title"), F.col("content"), F.col("created_at_epoch")).alias("own"))
 
 
+def _tag_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = observations(spark, sf_dir, "session_id", F.array_sort(normal_tags(F.col("tags_json"))).alias("tags")).filter("session_id is not null")
+    return rows.groupBy("session_id", "tags").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+
+
 def tag_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Common share of tags of observations of one session."""
-    rows = observations(spark, sf_dir).filter("session_id is not null").select("session_id", "id", normal_tags(F.col("tags_json")).alias("tags"))
-    pairs = rows.join(rows.select("session_id", F.col("id").alias("other"), F.col("tags").alias("others")), "session_id").filter("id < other")
-    return pairs.select("id", "other", F.round(jaccard(F.col("tags"), F.col("others")), 9).alias("overlap"))
+    """Common share of the distinct tag sets of a session's observations, each named by its lowest id; tag_sets() gives the members.
+
+    Sets without a common tag share nothing and have no row: sets meet at their tags, not all with all.
+    """
+    sets = _tag_sets(spark, sf_dir).select("session_id", "id", "tags")
+    tags = sets.select("session_id", "id", F.size("tags").alias("n"), F.explode("tags").alias("tag"))
+    other = tags.select("session_id", F.col("id").alias("other"), F.col("n").alias("m"), "tag")
+    met = tags.join(other, ["session_id", "tag"]).filter("id < other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("c"), F.any_value("n").alias("n"), F.any_value("m").alias("m"))
+    return met.select("id", "other", F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 9).alias("overlap"))
+
+
+def tag_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct tag sets of each session: their lowest id and how many observations have them."""
+    return _tag_sets(spark, sf_dir).select("session_id", "id", F.array_join("tags", ",").alias("tags"), "n")
 
 
 def chat_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +204,7 @@ def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "upsert_latest": upsert_latest, "sync_changes": sync_changes, "memory_sync": memory_sync, "import_new": import_new, "export_newest": export_newest, "embed_pending": embed_pending,
     "vector_orphans": vector_orphans, "source_stats": source_stats, "scan_totals": scan_totals, "scan_order": scan_order, "scan_lines": scan_lines, "clean_documents": clean_documents,
-    "noise_flags": noise_flags, "short_snippets": short_snippets, "tag_counts": tag_counts, "file_names": file_names, "fingerprints": fingerprints, "tag_overlap": tag_overlap,
+    "noise_flags": noise_flags, "short_snippets": short_snippets, "tag_counts": tag_counts, "file_names": file_names, "fingerprints": fingerprints, "tag_overlap": tag_overlap, "tag_sets": tag_sets,
     "chat_documents": chat_documents, "joined_pieces": joined_pieces, "event_sessions": event_sessions, "event_changes": event_changes, "last_messages": last_messages,
     "streamed_sessions": streamed_sessions, "session_exports": session_exports, "memory_notes": memory_notes, "scan_freshness": scan_freshness, "stable_versions": stable_versions,
 }
@@ -260,9 +275,10 @@ from labels left join t using (source) left join b using (source)""",
     "short_snippets": rf"""with {OBS}, c as (select id, trim(regexp_replace(content, '[\s\x{{a0}}\x{{3000}}]+', ' ', 'g'), ' ') as c from obs where content is not null)
 select id, case when length(c) <= 120 then c else rtrim(substr(c, 1, 119), ' ') || '…' end as snippet from c""",
     "tag_counts": f"with {OBS}, {_PARSED_TAGS} select tag, count(*) as n from (select unnest(tags) as tag from tagged) group by 1",
-    "tag_overlap": f"""with {OBS}, {_PARSED_TAGS} select a.id, b.id as other, round(case when len(a.tags) > 0 and len(b.tags) > 0
-        then len(list_intersect(a.tags, b.tags))::double / len(list_distinct(list_concat(a.tags, b.tags))) else 0.0 end, 9) as overlap
-        from tagged a join tagged b on a.session_id = b.session_id and a.id < b.id""",
+    "tag_overlap": f"""with {OBS}, {_PARSED_TAGS}, s as (select session_id, list_sort(tags) as tags, min(id) as id from tagged where session_id is not null group by 1, 2)
+select a.id, b.id as other, round(len(list_intersect(a.tags, b.tags))::double / len(list_distinct(list_concat(a.tags, b.tags))), 9) as overlap
+from s a join s b on a.session_id = b.session_id and a.id < b.id where len(list_intersect(a.tags, b.tags)) > 0""",
+    "tag_sets": f"""with {OBS}, {_PARSED_TAGS} select session_id, min(id) as id, array_to_string(list_sort(tags), ',') as tags, count(*) as n from tagged where session_id is not null group by session_id, list_sort(tags)""",
     "file_names": rf"""with {DOCS}, c as (select file_path, regexp_replace(regexp_replace(lower(trim(coalesce(title, ''), ' ')), '[^a-zA-Z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') as n from docs)
 select file_path, substr(case when n = '' then 'memory' else n end, 1, 120) as name from c""",
     "fingerprints": f"with {OBS} select id, sha256(concat_ws('|', coalesce(source_type, ''), coalesce(title, ''), coalesce(content, ''), coalesce(created_at_epoch::varchar, ''))) as own from obs",

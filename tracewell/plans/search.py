@@ -212,6 +212,17 @@ found as (select key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 /
 select key, score from found where c = {len(tokens)} order by score desc, key limit {k}"""
 
 
+
+_HAN = "㐀-䶿一-鿿"
+_STOPPED = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_KEYWORDS = rf"""k1 as (select *, regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+') as runs from docs),
+k2 as (select *, flatten(list_transform(runs, lambda r: case when regexp_matches(r, '[{_HAN}]') and length(r) > 1 then
+  list_concat(list_filter(list_transform(range(1, greatest(length(regexp_replace(r, '[^{_HAN}]', '', 'g')) - 1, 1) + 1), lambda i: substr(regexp_replace(r, '[^{_HAN}]', '', 'g'), i, 2)), lambda p: length(p) = 2),
+    [regexp_replace(r, '[^{_HAN}]', '', 'g'), regexp_replace(r, '[{_HAN}]', '', 'g')]) else [r] end)) as parts from k1),
+k3 as (select *, list_filter(parts, lambda t, i: length(t) >= 2 and list_position(parts, t) = i and t not in ({_STOPPED})) as kept from k2),
+kw as (select *, list_transform(list_sort(list_transform(kept, lambda t, i: {{'n': -length(t), 'i': i, 't': t}}))[1:6], lambda s: s.t) as words from k3)"""
+
+
 SQL = {
     "search_ranked": f"{RANKED} select file_path, source_type, created_at_epoch, score from ranked order by score desc, created_at_epoch desc, file_path limit 10",
     "search_like": f"with {DOCS} select file_path, created_at_epoch from docs where {' or '.join(any_of(t.lower()) for t in TERMS)} order by created_at_epoch desc, file_path desc limit 200",
@@ -245,4 +256,24 @@ select file_path, trim(substr(content, greatest(1, i - 120), i + 6 + 120 - great
     "semantic_fallback": f"""with {DOCS}, {OBS}, m as (select 'memory' as origin, id::varchar as key, title from obs where contains(content, 'codex_session'))
 select * from m union all select 'session', file_path, title from docs where source_type = 'codex_session' and not exists (select 1 from m)""",
     "newest_of_source": f"with {DOCS} select source_type, file_path, row_number() over (partition by source_type order by created_at_epoch desc, file_path)::int as rank from docs qualify rank <= 5",
+    "title_keywords": f"with {DOCS}, {_KEYWORDS} select file_path, array_to_string(words, ' ') as keywords from kw where title is not null",
+    "prewarm_reasons": rf"""with {DOCS.replace("select *", "select machine_id, created_at_epoch, file_path, updated_at_epoch, coalesce(title, '') as title")}, {_KEYWORDS},
+c as (select *, lower(trim(regexp_replace(title, '[\s\x{{a0}}\x{{3000}}]+', ' ', 'g'), ' ')) as t from kw where machine_id is not null),
+v as (select *, t = '' or (length(t) <= 24 and regexp_matches(t, '{prewarm.ACKNOWLEDGED}')) or (len(words) < 2 and length(t) < 12 and not regexp_matches(t, '{prewarm.CONTINUED}')) as trivial from c),
+w as (select *, last_value(case when not trivial then {{'t': created_at_epoch, 'k': words}} end ignore nulls) over (partition by machine_id order by created_at_epoch nulls first, title
+  rows between unbounded preceding and 1 preceding) as state from v),
+x as (select *, case when state is not null and len(words) > 0 and len(state.k) > 0 then len(list_intersect(words, state.k))::double / len(list_distinct(list_concat(words, state.k))) else 0.0 end as overlap,
+  coalesce(created_at_epoch - state.t < {prewarm.LASTS}, false) as recent from w),
+y as (select case when trivial then 'trivial' when regexp_matches(t, '{prewarm.CONTINUED}') then 'continuation'
+  when regexp_matches(t, '{prewarm.STRUCTURAL}') then case when recent and round(overlap, 9) >= {prewarm.SAME} then 'same-topic' else 'structural' end
+  when state is null then 'cold-start' when recent and round(overlap, 9) >= {prewarm.SAME} then 'same-topic' when regexp_matches(title, '{prewarm.IDENTIFIER}') or round(overlap, 9) <= {prewarm.NEW} then 'new-topic'
+  when not recent then 'stale-context' else 'same-topic' end as reason from x)
+select reason, count(*) as n from y group by 1""",
+    "embedded_texts": """with d as (select distinct doc_id, text from documents where text <> ''),
+c as (select doc_id, ((unicode(ch) * 2654435761) % 4294967296) >> 7 & 255 as slot, count(*) as n from (select doc_id, unnest(string_split(text, '')) as ch from d) group by 1, 2),
+v as (select doc_id, slot, (n / sqrt(sum(n * n) over (partition by doc_id)))::float::double as x from c),
+z as (select doc_id, sqrt(sum(x * x)) as norm from v group by 1),
+s as (select q.doc_id as query, d.doc_id as key, sum(q.x * d.x) as dot from v q join v d using (slot) where q.doc_id % 100 = 0 group by 1, 2),
+r as (select query, key, round(dot / (a.norm * b.norm + 1e-10), 6) as score from s join z a on a.doc_id = query join z b on b.doc_id = key)
+select query, key, score from r qualify row_number() over (partition by query order by score desc, key) <= 5""",
 }
