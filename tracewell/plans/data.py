@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import compact_snippet, fingerprint, is_noise, normal_tags, path_only, redact_secrets, safe_name, strip_private
-from tracewell.functions.vocabulary import SECRET_MARKS, SECRETS
+from tracewell.functions.vocabulary import SCAN_NOISE, SCAN_NOISE_PREFIXES, SECRET_MARKS, SECRETS
 from tracewell.operators import memory, scan, sessions
 from tracewell.plans.base import DOCS, OBS, documents, observations
 from tracewell.sources.lines import ordered_pieces
@@ -84,8 +84,7 @@ def scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw scan over message rows, a session as a file: its best text with a word."""
     parts = table(spark, sf_dir, "oc_part").filter("session_id is not null and data is not null and id is not null").distinct()
-    lines = parts.select(F.col("session_id").alias("path"), F.lit("opencode_session").alias("source"), F.col("id").alias("line_no_text"), F.col("data").alias("line"))
-    lines = lines.select("path", "source", F.conv(F.substring(F.md5("line_no_text"), 1, 8), 16, 10).cast("bigint").alias("line_no"), "line")
+    lines = parts.select(F.col("session_id").alias("path"), F.lit("opencode_session").alias("source"), F.coalesce("time_created", F.lit(0)).alias("line_no"), F.col("data").alias("line"))
     return scan.scan(lines, "scanner").select("path", "lines", "match_field", "match_score")
 
 
@@ -228,7 +227,37 @@ def clean_sql(column: str) -> str:
     return f"(case when {marks} then {out} else {bare} end)"
 
 
+def _scan_sql(query: str) -> str:
+    """The scan of chat rows in SQL: labelled texts, without noise, scored by field and hits in their snippet."""
+    fields = [("message", "$.message", 100), ("root.display", "$.display", 70), ("root.text", "$.text", 100), ("root.prompt", "$.prompt", 20), ("root.content", "$.content", 70)]
+    fields += [("root.user_instructions", "$.user_instructions", 20), ("root.last_agent_message", "$.last_agent_message", 70), ("root.output", "$.output", 40)]
+    fields += [("payload.message", "$.payload.message", 100), ("payload.display", "$.payload.display", 70), ("payload.text", "$.payload.text", 100), ("payload.prompt", "$.payload.prompt", 20)]
+    fields += [("payload.user_instructions", "$.payload.user_instructions", 20), ("payload.last_agent_message", "$.payload.last_agent_message", 70), ("payload.output", "$.payload.output", 40), ("message.content", "$.message.content", 100)]
+    texts = " union all ".join(f"select path, line_no, {i} as i, '{f}' as field, {w} as w, d ->> '{p}' as text from v where json_type(d, '{p}') = 'VARCHAR'" for i, (f, p, w) in enumerate(fields))
+    blocks = " union all ".join(
+        f"select path, line_no, {i} as i, '{f}' as field, 120 as w, unnest(d ->> '{p}[*].text') as text from v where json_type(d, '{p}') = 'ARRAY'" for i, f, p in ((15, "payload.content.text", "$.payload.content"), (17, "message.content.text", "$.message.content"))
+    )
+    low = "lower(trim(text, ' '))"
+    marks = " or ".join("contains({}, '{}')".format(low, m) for m in [*SCAN_NOISE, "drwx", "rwxr-xr-x"])
+    starts = " or ".join(f"starts_with({low}, '{p.strip()}')" for p in SCAN_NOISE_PREFIXES)
+    short = f"len(list_filter(list_transform(string_split({low}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' and strlen(x) <= 40 and not contains(x, ' ') and length(x) - length(replace(x, '/', '')) < 2 and length(x) - length(replace(x, '-', '')) <= 3))"
+    n = len(query)
+    return f"""with p as (select distinct session_id as path, id, data, time_created from oc_part where session_id is not null and data is not null and id is not null),
+counts as (select path, count(*) as lines from p group by 1),
+v as (select path, coalesce(time_created, 0) as line_no, case when json_valid(data) then data end as d from p),
+k as (select * from v where d is not null and not (coalesce(d ->> '$.type' in ('turn_context', 'custom_tool_call'), false) or coalesce(d ->> '$.type' = 'response_item' and d ->> '$.payload.type' in ('function_call_output', 'function_call', 'reasoning'), false)
+  or coalesce(d ->> '$.type' = 'event_msg' and d ->> '$.payload.type' in ('token_count', 'task_started'), false))),
+t as ({texts.replace("from v", "from k")} union all {blocks.replace("from v", "from k")}),
+h as (select *, trim(text, ' ') as c from t where contains(lower(text), '{query}') and not ({marks} or contains({low}, chr(10) || 'total ') or {starts} or {short} >= 5)),
+g as (select *, instr(lower(c), '{query}') - 1 as hit, length(c) as n from h),
+e as (select *, least(n, hit + {n} + 90) as e, greatest(0, hit - 90) as s0 from g),
+f as (select *, case when n <= 180 then c else substr(c, case when e - s0 < 180 then greatest(0, e - 180) else s0 end + 1, e - case when e - s0 < 180 then greatest(0, e - 180) else s0 end) end as snippet from e),
+z as (select *, w + 25 * ((length(lower(snippet)) - length(replace(lower(snippet), '{query}', ''))) // {n}) as score from f)
+select path, lines, field as match_field, score::int as match_score from z join counts using (path) qualify row_number() over (partition by path order by score desc, line_no, i) = 1"""
+
+
 SQL = {
+    "scan_lines": _scan_sql("scanner"),
     "clean_documents": f"select doc_id, md5({clean_sql('text')}) as text_md5 from documents where text is not null",
     "import_new": rf"""with {OBS}, {_PARSED_TAGS}, clean as (select *, {clean_sql("coalesce(title, '')")} as t2, {clean_sql("coalesce(content, '')")} as c2,
   case when regexp_matches(file_path, '^(?:/|~|[A-Za-z]:[\/]|\\)') or contains(file_path, '..') then 'import://local-path-redacted' else coalesce(file_path, '') end as p2 from tagged where source_type = 'import'),
