@@ -107,3 +107,20 @@ select c.table_name, key_a, key_b from c join n x on x.table_name = c.table_name
         left join keyed k using (file_path, source_type) left join heavy h using (source_type, k)
         group by file_path, source_type""",
 }
+
+
+def _conversations_sql() -> str:
+    """The SQL of p5_found with the time and the text of each message: the first of its texts that is not blank."""
+
+    def text(path: str) -> str:
+        block = "case when json_type(b) = 'VARCHAR' then b ->> '$' when json_type(b) = 'OBJECT' and coalesce(b ->> '$.type', '') in ('', 'text', 'input_text', 'output_text') then coalesce(nullif(b ->> '$.text', ''), nullif(b ->> '$.content', '')) end"
+        listed = f"array_to_string(list_filter(list_transform(cast(o -> '{path}' as json[]), lambda b: {block}), lambda x: x is not null and x <> ''), chr(10))"
+        return f"case json_type(o, '{path}') when 'VARCHAR' then o ->> '{path}' when 'ARRAY' then {listed} end"
+
+    said = ", ".join(f"case when regexp_matches({x}, '[^\\s\\x{{a0}}\\x{{3000}}]') then {x} end" for x in map(text, ("$.message.content", "$.message.text", "$.message", "$.text", "$.content", "$.parts")))
+    sql = SQL["p5_found"].replace("has_text from named", f"has_text, coalesce({said}) as text from named")
+    sql = sql.replace("said as (select session_id, id, us, broken,", "said as (select session_id, id, us, text, broken,").replace("m as (select session_id, id, us, role,", "m as (select session_id, id, us, role, text,")
+    return sql.replace("select session_id, seq, id as part_id, role from m", "select session_id, seq, id as part_id, us, role, text from m")
+
+
+SQL["p5_conversations"] = _conversations_sql()
