@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.scoring import score
 from tracewell.functions.text import best_window, query_terms
 from tracewell.operators.topk import latest, newest
+from tracewell.session import pin
 
 SESSION_FIELDS = ("title", "content", "file_path")
 
@@ -65,10 +66,10 @@ def search(docs: DataFrame, query: str, as_of: int, limit: int = 10, skip_title:
     """
     terms = query_terms(query) or [query.strip()]
     limit = max(1, min(limit, 100))
-    found = best_first(rank(docs, terms, as_of, skip_title, versions), limit)
+    found = pin(best_first(rank(docs, terms, as_of, skip_title, versions), limit), "search")  # a hundred rows at most, looked at twice
     if found.isEmpty():
         found = best_first(rank(docs, least_frequent(docs, terms, 2, versions), as_of, skip_title, versions), limit)
-    return found
+    return found.orderBy(F.desc("score"), F.desc("created_at_epoch"), "file_path")
 
 
 def best_first(found: DataFrame, limit: int) -> DataFrame:
