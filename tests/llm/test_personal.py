@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tracewell.llm.personal import find_personal, redact
+from tracewell.llm.mentions import FEATURES, Generator
+from tracewell.llm.personal import Scorer, find_personal, redact
 
 GIVEN = ["Petra", "Hugo", "Amara", "Stefan", "Lena", "Marek", "Ruben", "Zora", "Noor", "Iris"]
 FAMILY = [a + b for a in ("Yold", "Kesw", "Tolv", "Brack", "Fenn", "Corv") for b in ("mund", "ingale", "enko", "marsh", "ette")]
@@ -78,3 +80,22 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "table_name string, key string, content string")
     names = spark.createDataFrame([], "given_name string")
     assert find_personal(empty, names).count() == 0
+
+
+def test_all_labelled_candidates_count(spark):
+    def rows(n, kind, **features):
+        values = F.array(*[F.lit(float(features.get(f, f == kind))) for f in FEATURES])
+        every = spark.range(n).select(F.lit("t").alias("table_name"), F.col("id").cast("string").alias("key"), F.lit(0).alias("a"), F.lit(9).alias("b"), F.lit(kind).alias("kind"), F.lit(str(features)).alias("value"))
+        return every.withColumns({"features": values, "h": F.xxhash64("value", "kind", "table_name", "key", "a")})
+
+    common = rows(14_000, "email", form=1).union(rows(14_000, "email")).filter("h < 0")  # some 14,000 in front, if candidates are cut by their hash
+    rare = rows(60, "id_number", form=1, cue=1).union(rows(60, "id_number", form=1, cue_not=1)).filter("h > 0")
+    scorer = Scorer(common.union(rare).drop("h"))
+    kept = {(r.kind, r.value) for r in scorer.keep(rare.drop("h")).collect()}
+    assert kept == {("id_number", "{'form': 1, 'cue': 1}")}
+
+
+def test_an_end_of_a_word_is_no_context():
+    generate = Generator(set(), {}, {}, {})
+    not_a_person = [f[FEATURES.index("cue_not")] for text in ("Ulfmund, Gustav | +13125550186", "lib v +13125550186", "old_version: +13125550186") for *_, f in generate(text)]
+    assert not_a_person == [0, 0, 1, 1, 1, 1]

@@ -46,7 +46,7 @@ ID_FORMS = [re.compile(x) for x in (
 PHONE_CUES = re.compile(r"(?:phone|call|text|tel|mobile|number|unter|anrufen|appel|voicemail|try|at|on|ruf|fax|handy|contact|dial|whatsapp)\W*(?:me )?(?:on |at )?\W*$", re.I)
 ID_CUES = re.compile(r"(?:ssn|national id|id|dni|nie|kennung|num[ée]ro|record|row|passport|ausweis|nino|insee|security|identity|cpf|persons?nummer)\W*(?:is |no\.? )?\W*$", re.I)
 NUMBERS = {"phone": (PHONE_FORMS, PHONE_CUES), "id_number": (ID_FORMS, ID_CUES)}
-NUMBER_NOT = re.compile(r"(?:sku|build|range|epoch|commit|port|version|order|invoice|line|offset|ticket|part|bind|isbn|v|ip|#)\W*(?:\d+ ms, build )?\W*$", re.I)
+NUMBER_NOT = re.compile(r"(?:(?<![^\W\d_])(?:sku|build|range|epoch|commit|port|version|order|invoice|line|offset|ticket|part|bind|isbn|v|ip)|#)\W*(?:\d+ ms, build )?\W*$", re.I)
 ADDRESS_CUES = re.compile(r"(?:[,(:;\n]|\b(?:at|in|to|on|near|en|an|am|a|au|chez|jetzt|nach|address|adresse|street|calle|rue|from|from:))\s*\(?$|^$", re.I)
 ADDRESS_NOT = re.compile(r"(?:[\d./=#_-]|\b(?:step|line|version|took|after|of|every|about|another|only)) ?$", re.I)
 ADDRESS_NEXT = re.compile(r"\s*(?:[,.;:)\]\"'\n|]|$|à |in )")

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.lookup import Asked, by_chunks
 from tracewell.llm.mentions import FEATURES, KINDS, Generator, Survey
 from tracewell.session import pin, spread
 
-#: Labelled candidates that the trees are fitted on, trees and their depth. The sample is the same for the same table.
-SAMPLE, TREES, DEPTH = 12_000, 12, 4
+#: Trees, their depth, and parts of the labelled candidates, each scored by trees of the other parts to find the thresholds.
+TREES, DEPTH, FOLDS = 12, 4, 2
+#: Different feature vectors in a task of a fit; up to that many, sums come in the same order in every run.
+FIT_ROWS = 250_000
 #: Words that the model of names has if it is broadcast whole; beyond, each chunk of texts gets the part that it asks for.
 NAME_WORDS = 400_000
 FLUSH = 200_000
@@ -144,44 +150,55 @@ def label() -> Column:
         .when(~shared & ~told, 0)
         .when(~(known | on["initial"] | on["title"]), 0)
     )
-    # what stands around an address tells it where nothing speaks against it; a number and a street word in running text are none
-    address = F.when(on["cue"] & on["next_cue"] & ~on["cue_not"], 1).when((on["cue_not"] | on["runs_on"]) & ~on["capital"], 0)
+    # two of a word before, an end behind and a capital letter tell an address where nothing speaks against it; a number and a street word in running text are none
+    signs = sum((F.when(on[f], 1).otherwise(0) for f in ("cue", "next_cue", "capital")), F.lit(0))
+    address = F.when((signs > 1) & ~on["cue_not"], 1).when((on["cue_not"] | on["runs_on"]) & ~on["capital"] & ~on["cue"], 0)
     kind = F.col("kind")
     return F.when(kind == "email", email).when(kind.isin("phone", "id_number"), number).when(kind == "address", address).when(kind == "name", name).cast("double")
 
 
 class Scorer:
-    """Boosted trees over candidate features, with a threshold for each kind from labelled candidates that were held out."""
-
-    def __init__(self, found: DataFrame, sample: int = SAMPLE) -> None:
-        labelled = found.withColumns({"label": label(), "h": F.xxhash64("value", "kind", "table_name", "key", "a")}).filter("label is not null")
-        rows = pin(labelled.orderBy("h").limit(sample).select("kind", "features", "label", "h"), "mention-sample")
-        vectors = rows.withColumn("x", array_to_vector("features"))
-        train, held = vectors.filter("pmod(h, 10) < 7").cache(), vectors.filter("pmod(h, 10) >= 7")
-        seen = {r[0] for r in train.select("label").distinct().collect()}
-        self.model = None
-        self.thresholds = dict.fromkeys(KINDS, 0.5)
-        if len(seen) == 2:
-            self.model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, cacheNodeIds=False).fit(train)
-            scored = self.model.transform(held).select("kind", vector_to_array("probability")[1].alias("p"), "label").collect()
-            for kind in KINDS:
-                own = sorted((r["p"], r["label"]) for r in scored if r["kind"] == kind)
-                self.thresholds[kind] = self.best(own)
-        train.unpersist()
+    """Boosted trees over the features of all labelled candidates, with a threshold for each kind.
+
+    Candidates with equal features are one row with their number as weight, so that a fit takes all of them. Thresholds
+    come from all of them too: each part is scored by trees that are fitted on the other parts.
+    """
+
+    def __init__(self, found: DataFrame) -> None:
+        part = F.pmod(F.xxhash64("value", "kind", "table_name", "key", "a"), F.lit(FOLDS))
+        parts = [f"n{i}" for i in range(FOLDS)]
+        labelled = found.withColumn("label", label()).filter("label is not null").groupBy("kind", "features", "label")
+        rows = pin(labelled.agg(*[F.sum(F.when(part == i, 1.0).otherwise(0.0)).alias(n) for i, n in enumerate(parts)]), "labelled-mentions")
+        seen = [r.asDict() for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(n).alias(n) for n in parts]).collect()]
+        size = sum(r["rows"] for r in seen)
+        rows = rows.repartition(1 + size // FIT_ROWS, "features").sortWithinPartitions("features")
+        vectors = rows.withColumn("x", array_to_vector("features")).cache()
+        # the engine takes split points from a sample where rows are more than the square of maxBins and 10,000: never here
+        bins = max(32, math.isqrt(size) + 1)
+
+        def fit(own: list[str]) -> GBTClassificationModel | None:
+            if sum(any(r[n] for n in own) for r in seen) < 2:
+                return None
+            trees = GBTClassifier(featuresCol="x", labelCol="label", weightCol="n", maxIter=TREES, maxDepth=DEPTH, maxBins=bins, stepSize=0.3, seed=7, cacheNodeIds=False)
+            return trees.fit(vectors.withColumn("n", sum(map(F.col, own), F.lit(0.0))).filter("n > 0"))
+
+        with ThreadPool(FOLDS + 1) as pool:
+            self.model, *others = pool.map(inheritable_thread_target(found.sparkSession)(fit), [parts, *([x for x in parts if x != n] for n in parts)])
+        scored = [m.transform(vectors.withColumn("n", F.col(n)).filter("n > 0")).select("kind", vector_to_array("probability")[1].alias("p"), "label", "n") for n, m in zip(parts, others, strict=True) if m]
+        self.thresholds = dict.fromkeys(KINDS, 0.5) | (self.best(reduce(DataFrame.union, scored)) if scored else {})
+        vectors.unpersist()
 
     @staticmethod
-    def best(scored: list[tuple[float, float]]) -> float:
-        """The middle of the gap at which the F measure over held-out candidates is highest; one half where they tell nothing."""
-        total = sum(y for _, y in scored)
-        if not total or total == len(scored):
-            return 0.5
-        best, at, hits = 0.0, 0.5, 0.0
-        for i in range(len(scored) - 1, -1, -1):
-            hits += scored[i][1]
-            below = scored[i - 1][0] if i else 0.0
-            if below < scored[i][0] and (f := 2 * hits / (len(scored) - i + total)) > best:
-                best, at = f, (scored[i][0] + below) / 2
-        return at
+    def best(scored: DataFrame) -> dict[str, float]:
+        """For each kind the middle of the gap at which the F measure is highest, the upper of equal ones; none for kinds whose labels are all the same. scored: (kind, p, label, n)."""
+        points = scored.groupBy("kind", "p").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("hits"))
+        down, whole = Window.partitionBy("kind").orderBy(F.desc("p")), Window.partitionBy("kind")
+        points = points.select(
+            "kind", "p", F.lead("p", 1, 0.0).over(down).alias("below"), F.sum("n").over(down).alias("above"), F.sum("hits").over(down).alias("right"),
+            F.sum("n").over(whole).alias("every"), F.sum("hits").over(whole).alias("total"),
+        ).filter("below < p and 0 < right and total < every")
+        measured = points.select("kind", F.struct((2 * F.col("right") / (F.col("above") + F.col("total"))).alias("f"), "p", ((F.col("p") + F.col("below")) / 2).alias("at")).alias("point"))
+        return {r["kind"]: r["at"] for r in measured.groupBy("kind").agg(F.max("point")["at"].alias("at")).collect()}
 
     def keep(self, found: DataFrame) -> DataFrame:
         """found with score p, without what is below its kind's threshold."""
@@ -216,8 +233,8 @@ def _choose(scored: DataFrame) -> DataFrame:
 def find_personal(records: DataFrame, given_names: DataFrame, entries: int = NAME_WORDS) -> DataFrame:
     """The mentions of each record: table_name, key, spans (place, kind and value, in order, not overlapping).
 
-    records: (table_name, key, content). Candidates of all texts are scored by trees that are fitted on a bounded sample
-    of labelled ones; statistics of names are counted over all texts. Records with a null key or content, and those
+    records: (table_name, key, content). Candidates of all texts are scored by trees that are fitted on all labelled
+    ones; statistics of names are counted over all texts. Records with a null key or content, and those
     without a mention, have no row; repeated rows count once. Empty tables give none. entries decides how the statistics
     of names reach the texts (see candidates()), not the result.
     """
